@@ -3,7 +3,7 @@
 A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased. Each of a fixed number of tasks streams its
 documents into two filters; a key found by two tasks has all its bits in both tasks' first filters, so merging by
 ``twice |= once & other`` never misses a repeat. Only keys in the second filter shuffle, as 128-bit hashes added up before the
-shuffle, and are counted exactly. Filters are sized by the number of documents up to ``MOST_BITS``; beyond that more keys
+shuffle, and are counted exactly. Filters are sized by the number of documents up to ``bloom.MOST_BITS``; beyond that more keys
 shuffle, and results stay the same. The common keys go to all tasks if there are at most ``BROADCAST_KEYS``, else they are
 joined to the documents that hold them.
 
@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bloom
+from .bloom import BLOCK
 from .common import Scratch, fresh, map_arrow, texts, tuned
 
 STRIP = b" \t\n\x0b\x0c\r"
-MOST_BITS, BITS_PER_DOCUMENT, PROBES = 1 << 28, 256, 4
-BLOCK = 1 << 17  # bytes of a filter in one row
+BITS_PER_DOCUMENT = 256
 BROADCAST_KEYS = 200_000
 
 
@@ -35,35 +36,22 @@ def _keys(text: bytes) -> list[bytes]:
     return [x.strip(STRIP).lower() for x in text.split(b"\n")]
 
 
-def _probes(hashes: np.ndarray, bits: int) -> np.ndarray:
-    step = (hashes >> np.uint64(33)) | np.uint64(1)
-    return np.stack([(hashes + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(PROBES)])
-
-
-def _has(filter_: np.ndarray, probes: np.ndarray) -> np.ndarray:
-    return ((filter_[probes >> np.uint64(3)] >> (probes & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
-
-
-def _put(filter_: np.ndarray, probes: np.ndarray) -> None:
-    np.bitwise_or.at(filter_, (probes >> np.uint64(3)).ravel(), (np.uint8(1) << (probes & np.uint64(7)).astype(np.uint8)).ravel())
-
-
 def _batch_hashes(docs: list[str]) -> np.ndarray:
     """The hashes of each document's different keys."""
     return np.array([xxhash.xxh3_64_intdigest(k) for x in docs for k in set(_keys(x.encode("utf-8", "surrogatepass"))) if k], np.uint64)
 
 
 def repeated(docs: DataFrame, bits: int, tasks: int) -> np.ndarray:
-    """The filter of keys that may be in two documents; at most ``MOST_BITS`` bits reach the driver."""
+    """The filter of keys that may be in two documents; at most ``bloom.MOST_BITS`` bits reach the driver."""
 
     def fill(batches):
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             h, n = np.unique(_batch_hashes(texts(batch)), return_counts=True)
             if len(h):
-                probes = _probes(h, bits)
-                _put(twice, probes[:, (n > 1) | _has(once, probes)])
-                _put(once, probes)
+                probes = bloom.probes(h, bits)
+                bloom.put(twice, probes[:, (n > 1) | bloom.has(once, probes)])
+                bloom.put(once, probes)
         yield from rows((at // BLOCK, once[at : at + BLOCK], twice[at : at + BLOCK]) for at in range(0, len(once), BLOCK))
 
     def rows(blocks):
@@ -97,7 +85,7 @@ def repeated(docs: DataFrame, bits: int, tasks: int) -> np.ndarray:
 def common_lines(docs: DataFrame, min_docs: int, bits: int = 0) -> DataFrame:
     """Keys found in at least ``min_docs`` documents, by 128-bit hash, and where each comes first."""
     spark = docs.sparkSession
-    bits = bits or min(MOST_BITS, max(1 << 20, 1 << (BITS_PER_DOCUMENT * docs.count()).bit_length()))
+    bits = bits or bloom.bits_for(docs.count(), BITS_PER_DOCUMENT)
     seen = spark.sparkContext.broadcast(repeated(docs, bits, max(2, spark.sparkContext.defaultParallelism)))
 
     def suspects(batch: pa.RecordBatch):
@@ -111,7 +99,7 @@ def common_lines(docs: DataFrame, min_docs: int, bits: int = 0) -> DataFrame:
             line += first.values()
             owner += [i] * len(first)
         if keys:
-            hit = np.flatnonzero(_has(seen.value, _probes(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), bits)))
+            hit = np.flatnonzero(bloom.has(seen.value, bloom.probes(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), bits)))
             found = [xxhash.xxh3_128_digest(keys[i]) for i in hit]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("doc_id").take(pa.array(np.array(owner, np.int64)[hit])), pa.array(np.array(line, np.int64)[hit])], names=["key", "doc_id", "line"])
 
