@@ -46,13 +46,19 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", f"{c}.n_lines", f"{c}.n_dropped", F.sha2(F.col(f"{c}.text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import substring_dedup
+
+    return substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_groups
 
     return near_groups(documents(spark, sf_dir), width=2, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_packing, op4_secret_scan, op5_source_mix, op6_line_dedup, op10_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_packing, op4_secret_scan, op5_source_mix, op6_line_dedup, op8_substring_dedup, op10_minhash_near_dedup)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _METRICS = {"symbols": ("n_symbols", "word_chars", 10000, 300), "dup_lines": ("n_dup_lines", "n_lines", 10000, 4000), "repeats": ("n_repeat_words", "n_words", 10000, 2500), "adjacent": ("n_adjacent", "n_words", 10000, 1000), "upper": ("n_upper", "word_chars", 10000, 3000), "word_length": ("word_chars", "n_words", 100, 200)}
@@ -111,4 +117,12 @@ select doc_id, count(*) as n_lines, count(c.key) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (c.key is null), '')) as kept_sha256
 from k left join c on k.key = c.key group by doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _quality_sql(), "op5_source_mix": _MIX_SQL, "op6_line_dedup": _LINES_SQL}
+_SUBSTRING_SQL = rf"""
+with d as (select doc_id, {_WORDS} as w from documents),
+g as (select doc_id, w, unnest(range(1, len(w) - 18)) as s from d where len(w) >= 20),
+x as (select doc_id, s, row_number() over (partition by array_to_string(w[s:s + 19], ' ') order by doc_id, s) as r from g),
+c as (select doc_id, list_distinct(flatten(list(range(s, s + 20)))) as gone from x where r > 1 group by doc_id),
+k as (select d.doc_id, len(w) as n, list_filter(w, lambda v, i: not list_contains(coalesce(gone, []), i)) as kept from d left join c on d.doc_id = c.doc_id)
+select doc_id, n as n_words, n - len(kept) as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k"""
+
+ORACLE_SQL: dict[str, str] = {"op8_substring_dedup": _SUBSTRING_SQL, "op1_quality_rules": _quality_sql(), "op5_source_mix": _MIX_SQL, "op6_line_dedup": _LINES_SQL}
