@@ -46,6 +46,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", f"{c}.n_lines", f"{c}.n_dropped", F.sha2(F.col(f"{c}.text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_subword_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .lm import score
+
+    return score(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import substring_dedup
 
@@ -58,7 +66,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir), width=2, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_packing, op4_secret_scan, op5_source_mix, op6_line_dedup, op8_substring_dedup, op10_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_packing, op4_secret_scan, op5_source_mix, op6_line_dedup, op7_subword_lm, op8_substring_dedup, op10_minhash_near_dedup)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _METRICS = {"symbols": ("n_symbols", "word_chars", 10000, 300), "dup_lines": ("n_dup_lines", "n_lines", 10000, 4000), "repeats": ("n_repeat_words", "n_words", 10000, 2500), "adjacent": ("n_adjacent", "n_words", 10000, 1000), "upper": ("n_upper", "word_chars", 10000, 3000), "word_length": ("word_chars", "n_words", 100, 200)}
