@@ -6,8 +6,10 @@ Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``; ``bytes.split()`
 from __future__ import annotations
 
 import atexit
+import os
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,10 @@ _SCRATCH: dict[str, str] = {}
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches of this session by rows and, where Spark can, by bytes."""
+    """Bounds the Arrow batches of this session by rows and bytes, and lets Python workers find this package."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if (home := str(Path(__file__).resolve().parents[2])) not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

@@ -19,6 +19,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[f"{q}.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.pmod(F.col("vec_id"), F.lit(20)) == 0, k=20)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,13 +66,19 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import formatted
+
+    return formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_groups
 
     return near_groups(documents(spark, sf_dir), width=2, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_packing, op4_secret_scan, op5_source_mix, op6_line_dedup, op7_subword_lm, op8_substring_dedup, op10_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_nearest_neighbours, op3_packing, op4_secret_scan, op5_source_mix, op6_line_dedup, op7_subword_lm, op8_substring_dedup, op9_chat_formatting, op10_minhash_near_dedup)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _METRICS = {"symbols": ("n_symbols", "word_chars", 10000, 300), "dup_lines": ("n_dup_lines", "n_lines", 10000, 4000), "repeats": ("n_repeat_words", "n_words", 10000, 2500), "adjacent": ("n_adjacent", "n_words", 10000, 1000), "upper": ("n_upper", "word_chars", 10000, 3000), "word_length": ("word_chars", "n_words", 100, 200)}
@@ -133,4 +145,10 @@ c as (select doc_id, list_distinct(flatten(list(range(s, s + 20)))) as gone from
 k as (select d.doc_id, len(w) as n, list_filter(w, lambda v, i: not list_contains(coalesce(gone, []), i)) as kept from d left join c on d.doc_id = c.doc_id)
 select doc_id, n as n_words, n - len(kept) as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k"""
 
-ORACLE_SQL: dict[str, str] = {"op8_substring_dedup": _SUBSTRING_SQL, "op1_quality_rules": _quality_sql(), "op5_source_mix": _MIX_SQL, "op6_line_dedup": _LINES_SQL}
+#: The tables' conversations hold no tool messages; those are tested on fixtures.
+_CHAT_SQL = """
+select conv_id, turn, role, 'message' as kind, 0::bigint as n_calls, 0::bigint as n_answered, 0::bigint as n_valid, 0::bigint as n_unknown, null::bigint as call_turn,
+  turn as order_turn, 0 as order_step, case when role is null then to_json({'content': coalesce(text, '')}) else to_json({'content': coalesce(text, ''), 'role': role}) end::varchar as json
+from conversations"""
+
+ORACLE_SQL: dict[str, str] = {"op9_chat_formatting": _CHAT_SQL, "op8_substring_dedup": _SUBSTRING_SQL, "op1_quality_rules": _quality_sql(), "op5_source_mix": _MIX_SQL, "op6_line_dedup": _LINES_SQL}
