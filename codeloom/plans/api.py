@@ -120,7 +120,8 @@ class CodeMap:
     # ranks
 
     def hubs(self) -> DataFrame:
-        return self.ranks.orderBy(F.desc("rank"), "path").limit(S.HUBS).join(pagerank.in_degree(self.edges), "path", "left")
+        top = self.ranks.orderBy(F.desc("rank"), "path").limit(S.HUBS).join(pagerank.in_degree(self.edges), "path", "left")
+        return top.select("path", "rank", F.coalesce("in_degree", F.lit(0)).cast("long").alias("in_degree")).orderBy(F.desc("rank"), "path")
 
     def top_symbols(self, n: int = S.DEFAULT_SYMBOLS, focus: list[str] = ()) -> DataFrame:
         own = self.symbols.where("is_export") if "is_export" in self.symbols.columns else self.symbols
