@@ -5,11 +5,11 @@ Documents with the same set form a class, named by its smallest doc_id, and only
 ``BANDS * ROWS`` minima of x -> a * x + b mod 2**64; classes that share a band's minima form a bucket. A pair at similarity 0.8 shares
 none of 50 bands of 6 with probability 3e-7.
 
-No bucket emits all its pairs. In each of ``ROUNDS`` rounds every open bucket compares its members with one of them, the most
-connected not yet taken, and components are formed of the links that hold on full sets; a bucket is open while its
-members are in different components. What is still open after that is compared across components by byte
-signatures, in cells of at most ``CELL`` members a side, and only pairs whose signatures agree in at least 0.8 less five standard errors
-are confirmed on full sets. So a link is lost only if no band or no signature tells of it.
+No bucket emits all its pairs. In rounds, every open bucket compares its members with one of them, the most connected not yet
+taken, and components are formed of the links that hold on full sets; a bucket is open while its members are in
+different components. Rounds go on while they find links, ``ROUNDS`` at most. What is open after that is compared across
+components in cells of bounded size (``_cells``), first by byte signatures, which must agree in at least 0.8 less five standard errors,
+then by sets, and cells pass on only links. So a link is lost only if no band or no signature tells of it.
 
 Defined cases: without words or text a set is empty, and the row is linked with nothing, its component being its own
 doc_id; rows of null doc_id take part by their class, and are a component of null where no other is in it; rows that repeat a doc_id are
@@ -29,7 +29,9 @@ from .common import Scratch, WordHashes, flat, fresh, map_arrow, mixed, texts, t
 from .components import components
 
 BANDS, ROWS = 50, 6
-ROUNDS, CELL = 3, 512
+ROUNDS, CELL, CELL_SHINGLES = 3, 512, 1 << 20
+#: Another round is worth it if this share of the last one's pairs were links.
+GAIN = 0.02
 _CHUNK = 1 << 15
 
 
@@ -103,7 +105,10 @@ def windows_of(rows: np.ndarray) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """(node, set) of the classes in ``nodes``. A bounded filter of doc_ids spares other texts the shuffle."""
+    """(node, set, small) of the classes in ``nodes``. A bounded filter of doc_ids spares other texts the shuffle.
+
+    ``small``: the high halves of the hashes, in order, as bytes.
+    """
     spark = docs.sparkSession
     ids = scratch.save(nodes.select("node").distinct(), "wanted")
     bits = bloom.bits_for(ids.count())
@@ -116,10 +121,10 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, scratch: Scratch) ->
             batch = batch.take(pa.array(hit))
             sets = shingles(texts(batch), hashes, width)
             keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([(k >> 64) - (1 << 63) for k in keys], pa.int64()), pa.array([(k & ((1 << 64) - 1)) - (1 << 63) for k in keys], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "hi", "lo", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([(k >> 64) - (1 << 63) for k in keys], pa.int64()), pa.array([(k & ((1 << 64) - 1)) - (1 << 63) for k in keys], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())], names=["node", "hi", "lo", "set", "small"])
 
-    rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").withColumn("h", F.xxhash64("doc_id")), work, "node long, hi long, lo long, set array<long>")
-    return scratch.save(rows.join(nodes.select("node", "hi", "lo").distinct(), ["node", "hi", "lo"], "left_semi").select("node", "set").dropDuplicates(["node"]), "sets")
+    rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").withColumn("h", F.xxhash64("doc_id")), work, "node long, hi long, lo long, set array<long>, small binary")
+    return scratch.save(rows.join(nodes.select("node", "hi", "lo").distinct(), ["node", "hi", "lo"], "left_semi").select("node", "set", "small").dropDuplicates(["node"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -129,54 +134,82 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _cells(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different labels whose sizes and signatures allow the similarity.
+def _cells(rows: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and different labels that are similar enough by 32-bit sets, which can't miss a link.
 
-    Members are dealt to blocks, and each pair of blocks is a cell of its own; a cell holds about ``CELL`` members a side.
+    Members outside a bucket's largest label meet all its members. Both are dealt to blocks, and each pair of blocks is a cell that
+    holds about ``CELL`` members and ``CELL_SHINGLES`` hashes a side. A cell compares a pair if the bucket is the pair's first
+    common one, the sizes and signatures allow it, and no link found in the cell joins their labels already; so it
+    passes on fewer links than it has labels.
     """
-    rows = rows.withColumn("k", F.ceil(F.col("c") / CELL).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (F.col("i") > F.col("j")).alias("right"), (F.col("i") == F.col("j")).alias("same"), "node", "label", "n", "signature")
-    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
-
-    def pairs(group: list[dict]):
-        node, label, n = (np.array([g[x] for g in group], np.int64) for x in ("node", "label", "n"))
-        s = np.frombuffer(b"".join(g["signature"] for g in group), np.uint8).reshape(len(group), -1)
-        same = group[0]["same"]
-        right = np.array([g["right"] for g in group])
-        for p in range(len(group)):
-            others = np.arange(p + 1, len(group)) if same else np.flatnonzero(right) if not right[p] else ()
-            if not len(others):
-                continue
-            ok = (label[others] != label[p]) & (100 * np.minimum(n[others], n[p]) >= percent * np.maximum(n[others], n[p]))
-            others = np.asarray(others)[ok]
-            if len(others):
-                others = others[(s[others] == s[p]).mean(axis=1) >= least]
-                yield from ((max(node[p], node[q]), min(node[p], node[q])) for q in others)
+    counts = rows.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    info = counts.groupBy("key").agg(F.max(F.struct("m", "label")).alias("g"), F.sum("s").alias("s"))
+    rows = rows.join(scratch.save(info.select("key", F.col("g.label").alias("main"), F.col("g.m").alias("m"), "s"), "main"), "key")
+    few = F.col("label") != F.col("main")
+    blocks = lambda members: F.greatest(F.ceil(members / CELL), F.ceil(F.col("s") * members / F.col("c") / CELL_SHINGLES), F.lit(1)).cast("int")
+    rows = rows.withColumn("ku", blocks(F.col("c") - F.col("m"))).withColumn("ka", blocks(F.col("c"))).withColumn("few", few)
+    rows = rows.join(nodes.select("node", "signature", "bands"), "node").join(sets.select("node", "small"), "node")
+    heavy = ["node", "label", "n", "few", "signature", "bands", "small"]
+    block = lambda k: F.pmod(F.xxhash64("node"), k).cast("int")
+    left = rows.where("few").select("key", block(F.col("ku")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("ka") - 1)).alias("j"), F.lit(True).alias("left"), *heavy)
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("ku") - 1)).alias("i"), block(F.col("ka")).alias("j"), F.lit(False).alias("left"), *heavy)
+    share = percent / 100
+    least = share - 5 * (share * (1 - share) / (BANDS * ROWS)) ** 0.5
+
+    def links(key: int, group: list[dict]):
+        us, all_ = [g for g in group if g["left"]], [g for g in group if not g["left"]]
+        if not us or not all_:
+            return
+        node, label, n = (np.array([g[x] for g in all_], np.int64) for x in ("node", "label", "n"))
+        rare = np.array([g["few"] for g in all_])
+        bands, signature = np.array([g["bands"] for g in all_], np.int64), np.frombuffer(b"".join(g["signature"] for g in all_), np.uint8).reshape(len(all_), -1)
+        small = [np.frombuffer(g["small"], np.uint32) for g in all_]
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while top.get(x, x) != x:
+                x = top[x]
+            return x
+
+        for u in us:
+            at = np.flatnonzero((label != u["label"]) & (100 * np.minimum(n, u["n"]) >= percent * np.maximum(n, u["n"])) & ~(rare & (node < u["node"])))
+            if len(at):
+                same = bands[at] == np.array(u["bands"], np.int64)
+                at = at[bands[at, same.argmax(axis=1)] == key]
+            if len(at):
+                at = at[(signature[at] == np.frombuffer(u["signature"], np.uint8)).mean(axis=1) >= least]
+            mine = np.frombuffer(u["small"], np.uint32)
+            for k in at.tolist():
+                a, b = find(u["label"]), find(int(label[k]))
+                if a != b:
+                    place = np.minimum(np.searchsorted(mine, small[k]), len(mine) - 1)
+                    both = int((mine[place] == small[k]).sum())
+                    if 100 * both >= percent * (u["n"] + int(n[k]) - both):
+                        top[a] = b
+                        yield u["node"], int(node[k])
 
     def run(batches):
-        group, key = [], None
-        found: set = set()
+        group, cell, found = [], None, []
 
-        def told(at_least: int):
-            if len(found) >= at_least:
-                a, b = zip(*found, strict=True) if found else ((), ())
+        def told():
+            if found:
+                a, b = zip(*found, strict=True)
                 found.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             for r in batch.to_pylist():
-                if (r["key"], r["i"], r["j"]) != key:
-                    if len(group) > 1:
-                        found.update(pairs(group))
-                        yield from told(1 << 16)
-                    group, key = [], (r["key"], r["i"], r["j"])
+                if (r["key"], r["i"], r["j"]) != cell:
+                    if cell:
+                        found.extend(links(cell[0], group))
+                    group, cell = [], (r["key"], r["i"], r["j"])
                 group.append(r)
-        if len(group) > 1:
-            found.update(pairs(group))
-        yield from told(1)
+            yield from told()
+        if cell:
+            found.extend(links(cell[0], group))
+        yield from told()
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return left.unionAll(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -197,15 +230,19 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         sets = _sets_of(docs, named.join(fame, "node", "left_semi"), width, scratch)
         members = scratch.save(members.join(fame, "node"), "famous")
         open_ = members.withColumn("label", F.col("node"))
-        used = None
+        used, gain = None, 1.0
         for turn in range(ROUNDS + 1):
             if turn:
-                open_ = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+                open_ = members if labels is None else members.join(labels, "node", "left")
+                open_ = open_.withColumn("label", F.coalesce("label", "node") if labels is not None else F.col("node"))
                 split = scratch.save(open_.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), f"split{turn}")
                 if split.isEmpty():
                     break
                 open_ = scratch.save(open_.join(split, "key"), f"open{turn}")
-            if turn < ROUNDS:
+            last = turn == ROUNDS or gain < GAIN
+            if last:
+                pairs = scratch.save(_cells(open_, nodes, sets, scratch, percent), "cells")
+            else:
                 free = open_ if used is None else open_.join(used, ["key", "node"], "left_anti")
                 pivot = free.groupBy("key").agg(F.max(F.struct("fame", (-F.col("node")).alias("least"), "label", "n")).alias("p"))
                 pivot = scratch.save(pivot.select("key", (-F.col("p.least")).alias("b"), F.col("p.label").alias("b_label"), F.col("p.n").alias("b_n")), f"pivot{turn}")
@@ -213,13 +250,15 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
                 used = new if used is None else used.unionAll(new)
                 fits = 100 * F.least("n", "b_n") >= percent * F.greatest("n", "b_n")
                 pairs = open_.join(pivot, "key").where((F.col("label") != F.col("b_label")) & fits).select(F.col("node").alias("a"), "b").distinct()
-            else:
-                pairs = _cells(open_.join(nodes.select("node", "signature"), "node"), percent)
-            found = scratch.save(_confirmed(scratch.save(pairs, f"pairs{turn}"), sets, percent), f"links{turn}")
-            if found.isEmpty():
-                continue
-            links = found if labels is None else found.unionAll(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-            labels = scratch.save(components(links, scratch, f"part{turn}").select("node", F.col("component").alias("label")), f"labels{turn}")
+                pairs = scratch.save(pairs, f"pairs{turn}")
+            found = scratch.save(_confirmed(pairs, sets, percent), f"links{turn}")
+            n_found = found.count()
+            gain = n_found / max(1, pairs.count())
+            if n_found:
+                links = found if labels is None else found.unionAll(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+                labels = scratch.save(components(links, scratch, f"part{turn}").select("node", F.col("component").alias("label")), f"labels{turn}")
+            if last:
+                break
         scratch.drop("members", "famous", "sets", "shared", "fame")
     named = named.withColumn("component_id", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("component_id", F.coalesce("label", "node"))
     named = scratch.save(named.select("hi", "lo", "component_id"), "named")
