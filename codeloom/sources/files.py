@@ -21,7 +21,7 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
     full = F.regexp_replace("path", "^[a-z]+:/+", "/")
     below = F.regexp_replace(full, "^" + re.escape("/" + root.split(":", 1)[-1].strip("/")) + "/", "")
-    return rows.select(below.alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    return rows.select(below.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
 def ignore_pattern(lines: list[str]) -> str | None:
