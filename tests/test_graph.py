@@ -89,10 +89,10 @@ def test_declarations_come_before_barrels(spark):
 
 
 def test_digest_cuts_the_first_block_and_skips_what_does_not_fit(spark):
-    rows = [("a.ts", f"name{i}", "Kind", i + 1) for i in range(4)] + [("a-very-long-file-name-that-does-not-fit-at-all.ts", "other", "Kind", 5), ("b.ts", "z", "K", 6)]
+    rows = [("a.ts", f"name{i}" + "x" * 15, "Kind", i + 1) for i in range(4)] + [("a-very-long-file-name-that-does-not-fit-at-all.ts", "other", "Kind", 5), ("b.ts", "z", "K", 6)]
     ranked = spark.createDataFrame(rows, "path string, name string, kind string, pos int")
     got = {r["path"]: (r["at"], r["names"]) for r in symbols.digest(ranked, 14).collect()}
-    assert got == {"a.ts": (1, "name0,name1"), "b.ts": (2, "z")}
+    assert got == {"a.ts": (1, "name0" + "x" * 15), "b.ts": (2, "z")}
 
 
 def test_drawings(spark):

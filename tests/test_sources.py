@@ -162,3 +162,42 @@ def test_lexer_on_hard_texts():
     assert f.rsc == "server" and f.imports[0]["names"] == ["default", "a"] and f.symbols[0]["is_default"]
     for text in ("", "{", "import", "export {", "export default", "`${", "class", "const {", "import {a", "export * from"):
         read_source(text)
+
+
+def test_worktree(spark, tmp_path):
+    import subprocess
+
+    from codeloom.sources.worktree import changes, head, parse_changes, read_worktree, state_token, tracked
+
+    assert tracked(str(tmp_path)) == [] and head(str(tmp_path)) == ""
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for name, text in {"a.ts": "1", "b.ts": "2", ".gitignore": "out\n", "out/x.ts": "3"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    git("add", "-A")
+    git("commit", "-qm", "x")
+    git("mv", "a.ts", "c d.ts")
+    (tmp_path / "new").mkdir()
+    (tmp_path / "new/é.ts").write_text("4")
+    assert tracked(str(tmp_path)) == [".gitignore", "b.ts", "c d.ts", "new/é.ts"]
+    assert changes(str(tmp_path)) == [("R", "c d.ts", "a.ts"), ("??", "new/é.ts", None)]
+    assert {r["path"] for r in read_worktree(spark, str(tmp_path)).collect()} == {"b.ts", "c d.ts", "new/é.ts"}  # Spark passes over names that begin with a dot
+    moved, apart = [("R", "b", "a")], [("A", "b", None), ("D", "a", None)]
+    assert state_token("h", moved, {"b": "1"}) != state_token("h", apart, {"b": "1"}) != state_token("g", apart, {"b": "1"})
+    assert state_token("h", apart, {}) == state_token("h", apart[::-1], {}) and parse_changes(b"") == []
+
+
+def test_server(code):
+    import io
+    import json
+
+    from codeloom.plans.server import serve
+
+    asked = [{"jsonrpc": "2.0", "id": 1, "method": "initialize"}, {"method": "initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "find", "arguments": {"name": "foo"}}}, {"id": 4, "method": "tools/call", "params": {"name": "find", "arguments": {}}}, {"id": 5, "method": "tools/call", "params": {"name": "relates", "arguments": {"path": "zz"}}}, {"id": 6, "method": "nope"}, [1]]
+    out = io.StringIO()
+    serve(code, io.StringIO("\n".join(["{bad", "", *map(json.dumps, asked)])), out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [x.get("id") for x in got] == [None, 1, 2, 3, 4, 5, 6, None] and got[0]["error"]["code"] == -32700 and got[6]["error"]["code"] == -32601
+    assert len(got[2]["result"]["tools"]) == 14 and json.loads(got[3]["result"]["content"][0]["text"])["rows"][0]["name"] == "foo"
+    assert got[4]["result"]["isError"] and got[5]["result"]["isError"] and not got[3]["result"]["isError"]
