@@ -53,12 +53,20 @@ def match_routes(routes: DataFrame, queries: DataFrame) -> DataFrame:
     """
     q = queries.select("query").distinct().withColumn("norm", normalize_url(F.col("query")))
     parts = lambda c: F.filter(F.split(c, "/"), lambda x: x != "")
-    r = routes.select("url", "path").distinct().withColumn("own", parts(F.col("url")))
-    pairs = q.withColumn("parts", parts(F.col("norm"))).join(r, F.lit(True))
-    direct = (F.col("url") == F.col("norm")) | (F.col("path") == F.col("query")) | F.col("path").endswith(F.concat(F.lit("/"), F.col("query")))
-    rest = F.exists("own", lambda s: s.startswith("*"))
-    fixed = F.filter("own", lambda s: ~s.startswith("*"))
-    fits = F.forall(F.arrays_zip(fixed.alias("s"), F.transform(fixed, lambda s, i: F.get(F.col("parts"), i)).alias("p")), lambda x: x["s"].startswith(":") | F.coalesce(x["s"] == x["p"], F.lit(False)))
-    rows = pairs.withColumn("direct", direct).where(direct | (fits & (rest | (F.size("own") == F.size("parts")))))
-    best = rows.groupBy("query").agg(F.max("direct").alias("any_direct"))
-    return rows.join(best, "query").where(F.col("direct") | ~F.col("any_direct")).select("query", "url", "path")
+    q = q.withColumn("parts", parts(F.col("norm")))
+    r = routes.select("url", "path").distinct()
+    own_url = q.join(r, F.col("norm") == F.col("url")).select("query", "url", "path")
+    folders = F.split("path", "/")
+    ends = r.select("url", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(folders)), lambda n: F.array_join(F.slice(folders, n, F.size(folders)), "/"))).alias("query"))
+    direct = own_url.union(q.select("query").join(ends, "query").select("query", "url", "path")).distinct()
+
+    # Patterns join by their number of segments (catch-alls by none) and their first segment, where that is fixed.
+    own = parts(F.col("url"))
+    r = r.withColumn("rest", F.exists(own, lambda s: s.startswith("*"))).withColumn("size", F.size(own)).withColumn("fixed", F.filter(own, lambda s: ~s.startswith("*")))
+    first = F.coalesce(F.get("fixed", F.lit(0)), F.lit(":"))
+    r = r.withColumn("key", F.concat_ws("/", F.when(F.col("rest"), "*").otherwise(F.col("size").cast("string")), F.when(first.startswith(":"), ":").otherwise(first)))
+    begin = F.coalesce(F.get("parts", F.lit(0)), F.lit(":"))
+    keys = F.array_distinct(F.array(*[F.concat_ws("/", a, b) for a in (F.lit("*"), F.size("parts").cast("string")) for b in (F.lit(":"), begin)]))
+    fits = F.forall(F.arrays_zip(F.col("fixed").alias("s"), F.transform("fixed", lambda s, i: F.get(F.col("parts"), i)).alias("p")), lambda x: x["s"].startswith(":") | F.coalesce(x["s"] == x["p"], F.lit(False)))
+    patterns = q.withColumn("key", F.explode(keys)).join(r, "key").where(fits).select("query", "url", "path").distinct()
+    return direct.union(patterns.join(direct.select("query").distinct(), "query", "left_anti"))
