@@ -13,7 +13,7 @@ Joined back to all occurrences of a path, coordinates tell which windows start e
 these cover are removed. Windows are judged on the input.
 
 Defined cases: null text has no words; a document of fewer than ``WIDTH`` words keeps all; rows that repeat a doc_id are one document, whose
-equal windows at the same start are not repeats of each other; rows of null doc_id come last; an empty table gives an empty
+equal windows at the same start are not repeats of each other, whatever its texts; rows of null doc_id come last; an empty table gives an empty
 result; other columns are not read.
 """
 
@@ -72,7 +72,7 @@ def repeated_anchors(docs: DataFrame, scratch: Scratch, width: int, anchor: int)
 
 
 def _removed(docs: DataFrame, scratch: Scratch, width: int, anchor: int) -> DataFrame:
-    """doc_id, and runs (start, n) of windows that start earlier elsewhere."""
+    """doc_id, text_hash (which tells rows of one doc_id apart), and runs (start, n) of windows that start earlier elsewhere."""
     spark = docs.sparkSession
     held, bits = repeated_anchors(docs, scratch, width, anchor)
     sent, hashes = spark.sparkContext.broadcast(held), WordHashes()
@@ -88,10 +88,10 @@ def _removed(docs: DataFrame, scratch: Scratch, width: int, anchor: int) -> Data
         h = p["hash"].view(np.int64)
         runs = [h[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
         keys = [xxhash.xxh3_128_digest(r.tobytes()) for r in runs]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(p["doc"][begin])), pa.array(p["start"][begin]), pa.array(keys, pa.binary()), pa.array(runs, pa.list_(pa.int64()))], names=["doc_id", "start", "path", "hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(p["doc"][begin])), batch.column("text_hash").take(pa.array(p["doc"][begin])), pa.array(p["start"][begin]), pa.array(keys, pa.binary()), pa.array(runs, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "start", "path", "hashes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = scratch.save(map_arrow(docs.select("doc_id", "text"), work, f"doc_id {kind}, start long, path binary, hashes array<long>"), "paths")
+    rows = scratch.save(map_arrow(docs.select("doc_id", "text", F.hash("text").alias("text_hash")), work, f"doc_id {kind}, text_hash int, start long, path binary, hashes array<long>"), "paths")
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     # The first occurrence of each different path; its windows' hashes are the same wherever it occurs.
     first = scratch.save(rows.groupBy("path").agg(F.min(F.struct(order.alias("d"), "start")).alias("f")), "first")
@@ -101,21 +101,21 @@ def _removed(docs: DataFrame, scratch: Scratch, width: int, anchor: int) -> Data
     # By path: the windows that begin earlier in another path. Of a path that occurs again, all do.
     earlier = edges.join(least.select("h", F.col("d").alias("md"), F.col("s").alias("ms")), "h").where("md < d or md = d and ms < s")
     earlier = scratch.save(earlier.groupBy("path").agg(F.sort_array(F.collect_list("i")).alias("again")), "earlier")
-    every = rows.select("doc_id", order.alias("d"), "start", "path", F.size("hashes").alias("n"))
+    every = rows.select("doc_id", "text_hash", order.alias("d"), "start", "path", F.size("hashes").alias("n"))
     known = first.join(earlier, "path", "left").select("path", "f", "again")
     known = scratch.save(known, "known")
     at = every.join(known, "path")
     own = (F.col("d") == F.col("f.d")) & (F.col("start") == F.col("f.start"))
     spans = F.when(own, F.transform(F.col("again"), lambda i: F.struct((F.col("start") + i).alias("start"), F.lit(1).alias("n")))).otherwise(F.array(F.struct("start", "n")))
-    return at.select("doc_id", F.explode(spans).alias("span"))
+    return at.select("doc_id", "text_hash", F.explode(spans).alias("span"))
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words joined by spaces) and kept_sha256 for each row."""
     spark = tuned(docs.sparkSession)
     scratch = Scratch(spark)
-    spans = _removed(docs, scratch, width, anchor).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("span").alias("spans"))
-    rows = docs.select("doc_id", "text").join(spans, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "spans")
+    spans = _removed(docs, scratch, width, anchor).groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).agg(F.collect_list("span").alias("spans"))
+    rows = docs.select("doc_id", "text").join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.hash("text") == F.col("h")), "left").select("doc_id", "text", "spans")
 
     def work(batch: pa.RecordBatch):
         words = [x.encode("utf-8", "surrogatepass").split() for x in texts(batch)]
