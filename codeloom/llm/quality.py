@@ -103,19 +103,18 @@ def _quantile(q: float) -> str:
 
 def limits(counts: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """One row per (lang, source) with a lower and an upper limit for each metric."""
-    grouped = None
-    for level, keys in enumerate((["lang", "source"], ["lang"], [])):
+    def quartiles(keys: list[str], level: int) -> DataFrame:
         merged = counts.groupBy(*keys, "metric", "value").agg(F.sum("n").alias("n"))
         merged = merged.groupBy(*keys, "metric").agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("bins"), F.sum("n").alias("total"))
         merged = merged.select(*keys, "metric", "total", F.expr(_quantile(0.25)).alias("q25"), F.expr(_quantile(0.75)).alias("q75"))
-        merged = merged.groupBy(*keys).agg(F.first("total").alias(f"n{level}"), *[F.first(F.when(F.col("metric") == k, F.struct("q25", "q75")), True).alias(f"{k}{level}") for k in WIDTHS])
-        if grouped is None:
-            grouped = merged
-        elif keys:
-            merged = merged.withColumnRenamed("lang", "lang_")
-            grouped = grouped.join(merged, F.col("lang").eqNullSafe(F.col("lang_")), "left").drop("lang_")
-        else:
-            grouped = grouped.crossJoin(F.broadcast(merged))  # one row
+        return merged.groupBy(*keys).agg(F.first("total").alias(f"n{level}"), *[F.first(F.when(F.col("metric") == k, F.struct("q25", "q75")), True).alias(f"{k}{level}") for k in WIDTHS])
+
+    by_lang = quartiles(["lang"], 1).withColumnRenamed("lang", "lang_")
+    grouped = quartiles(["lang", "source"], 0).join(by_lang, F.col("lang").eqNullSafe(F.col("lang_")), "left").drop("lang_")
+    every = quartiles([], 2).first()  # one row of two numbers a metric
+    if every is None or every["n2"] is None:
+        every = {f"{k}2": (0, 0) for k in WIDTHS}
+    grouped = grouped.withColumns({f"{k}2": F.struct(F.lit(every[f"{k}2"][0]).cast("long").alias("q25"), F.lit(every[f"{k}2"][1]).cast("long").alias("q75")) for k in WIDTHS})
     out = ["lang", "source"]
     for k, width in WIDTHS.items():
         q = F.when(F.col("n0") >= min_group, F.col(f"{k}0")).when(F.col("n1") >= min_group, F.col(f"{k}1")).otherwise(F.col(f"{k}2"))
@@ -124,17 +123,20 @@ def limits(counts: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     return grouped.select(*out)
 
 
-def judged(docs: DataFrame, min_group: int = MIN_GROUP, column: str = "quality") -> tuple[DataFrame, str]:
-    """``docs`` with a struct of counts and verdicts, and that struct's name.
+def judged(docs: DataFrame, min_group: int = MIN_GROUP, column: str = "quality", text: bool = True) -> tuple[DataFrame, str]:
+    """``docs`` with a struct of counts and verdicts, and that struct's name. Without ``text`` that column is left out, and texts are read once.
 
     ``base_failed``: under 20 words, or over 30 in 100 words in repeated windows; ``kept``: passes that and all limits.
     """
     column = fresh(docs, column)
     scratch = Scratch(docs.sparkSession)
-    narrow = with_features(docs.select("lang", "source", "text"), column).select("lang", "source", column)
+    if text:
+        narrow = with_features(docs.select("lang", "source", "text"), column).select("lang", "source", column)
+    else:
+        narrow = scratch.save(with_features(docs, column).drop("text"), "features")
     most = scratch.save(limits(scratch.save(sketches(narrow, column), "sketches"), min_group), "limits")
     most = most.select(F.struct("*").alias(lim := fresh(docs, "limits")))
-    full = with_features(docs, column)
+    full = with_features(docs, column) if text else narrow
     rows = full.join(most, F.col("lang").eqNullSafe(F.col(f"{lim}.lang")) & F.col("source").eqNullSafe(F.col(f"{lim}.source")), "left")
     failed = F.expr(f"{column}.n_words < 20 or 100 * {column}.n_repeat_words > 30 * {column}.n_words")
     fits = F.lit(True)
@@ -143,7 +145,7 @@ def judged(docs: DataFrame, min_group: int = MIN_GROUP, column: str = "quality")
         if k == "word_length":
             fits &= v >= F.col(f"{lim}.{k}_least")
     verdict = F.struct(f"{column}.*", failed.alias("base_failed"), (~failed & F.coalesce(fits, F.lit(False))).alias("kept"))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], verdict.alias(column)), column
+    return rows.select(*[F.col(f"`{c}`") for c in full.columns if c != column], verdict.alias(column)), column
 
 
 def quality_filter(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:

@@ -15,7 +15,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judged
 
-    rows, q = judged(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    rows, q = judged(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), text=False)
     return rows.select("doc_id", *[f"{q}.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
