@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 WHITE = " \t\n\x0b\x0c\r"
 #: Rows and bytes of one Arrow batch: what a Python worker holds at a time.
-BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 _SCRATCH: dict[str, str] = {}
 
@@ -105,7 +105,7 @@ def table(**columns) -> pa.RecordBatch:
 class WordHashes(dict):
     """Word to a stable 64-bit hash; forgets all at LIMIT words, so memory is bounded."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
