@@ -68,7 +68,9 @@ def repeated_anchors(docs: DataFrame, scratch: Scratch, width: int, anchor: int)
     counted = map_arrow(docs.select("text"), work, "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n"))
     again = scratch.save(counted.where("n > 1").select("anchor"), "anchors")
     bits = bloom.bits_for(again.count())
-    return bloom.build(again, bits, max(2, docs.sparkSession.sparkContext.defaultParallelism)), bits
+    held = bloom.build(again, bits, max(2, docs.sparkSession.sparkContext.defaultParallelism))
+    scratch.drop("anchors")
+    return held, bits
 
 
 def _removed(docs: DataFrame, scratch: Scratch, width: int, anchor: int) -> DataFrame:
@@ -104,6 +106,7 @@ def _removed(docs: DataFrame, scratch: Scratch, width: int, anchor: int) -> Data
     every = rows.select("doc_id", "text_hash", order.alias("d"), "start", "path", F.size("hashes").alias("n"))
     known = first.join(earlier, "path", "left").select("path", "f", "again")
     known = scratch.save(known, "known")
+    scratch.drop("first", "apart", "least", "earlier")
     at = every.join(known, "path")
     own = (F.col("d") == F.col("f.d")) & (F.col("start") == F.col("f.start"))
     spans = F.when(own, F.transform(F.col("again"), lambda i: F.struct((F.col("start") + i).alias("start"), F.lit(1).alias("n")))).otherwise(F.array(F.struct("start", "n")))
