@@ -272,7 +272,7 @@ def calls_depth1(t: Tables) -> DataFrame:
 
 @query
 def callers_closure(t: Tables) -> DataFrame:
-    return closure.call_closure(t.steps().where("caller_name <> 'view'"), "user/8", "signup", 3, node_cap=1 << 30, frontier_cap=1 << 30).drop("via", "truncated")
+    return closure.call_closure(t.steps(), "user/8", "signup", 3, node_cap=1 << 30, frontier_cap=1 << 30).drop("via", "truncated")
 
 
 @query
