@@ -100,8 +100,7 @@ def symbol_rank_focus(t: Tables) -> DataFrame:
 
 @query
 def symbol_tail(t: Tables) -> DataFrame:
-    few = t.references().where("n >= 6")
-    return symbols.unreferenced(t.exports(), few)
+    return symbols.unreferenced(t.exports(), t.references())
 
 
 @query
@@ -152,7 +151,7 @@ def _prose(t: Tables) -> lexical.LexicalIndex:
 
 @query
 def lexical_df(t: Tables) -> DataFrame:
-    return _prose(t).df.where("n >= 20")
+    return _prose(t).df
 
 
 @query
@@ -314,8 +313,12 @@ def export_mermaid(t: Tables) -> DataFrame:
     return edges.mermaid(*_drawing(t))
 
 
+def _orders(t: Tables) -> DataFrame:
+    return t.read("orders").select(F.concat(F.lit("order/"), "o_orderkey").alias("path"), F.concat_ws(":", "o_orderstatus", F.floor("o_totalprice")).alias("token"), "o_orderkey", "o_orderpriority")
+
+
 def _snapshots(t: Tables) -> tuple[DataFrame, DataFrame]:
-    orders = t.read("orders").select(F.concat(F.lit("order/"), "o_orderkey").alias("path"), F.concat_ws(":", "o_orderstatus", F.floor("o_totalprice")).alias("token"), "o_orderkey", "o_orderstatus")
+    orders = _orders(t)
     old = orders.where("o_orderkey % 10 <> 3").select("path", "token")
     new = orders.where("o_orderkey % 10 <> 7").select("path", F.when(F.col("o_orderkey") % 10 == 5, F.concat("token", F.lit("+"))).otherwise(F.col("token")).alias("token"))
     return old, new
@@ -328,7 +331,7 @@ def snapshot_diff(t: Tables) -> DataFrame:
 
 @query
 def fingerprint(t: Tables) -> DataFrame:
-    return refresh.fingerprint(_snapshots(t)[0].join(t.read("orders").select(F.concat(F.lit("order/"), "o_orderkey").alias("path"), "o_orderpriority"), "path"), ["o_orderpriority"])
+    return refresh.fingerprint(_orders(t), ["o_orderpriority"])
 
 
 @query

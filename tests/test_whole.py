@@ -18,10 +18,30 @@ def duck(sf_dir):
 
 def same(df, want):
     got, want = rows_of(df.columns, [tuple(r) for r in df.collect()]), rows_of(want.columns, want.fetchall())
-    assert got == want and got
+    assert got == want
     return got
 
 
 def test_callers_closure_follows_every_edge(spark, duck, sf_dir):
     sql = ORACLE_SQL["callers_closure"].replace(" where caller_name <> 'view'", "")
     assert any("view" in r for r in same(QUERIES["callers_closure"](spark, sf_dir), duck.sql(sql)))
+
+
+def test_fingerprint_covers_every_order(spark, duck, sf_dir):
+    assert same(QUERIES["fingerprint"](spark, sf_dir), duck.sql(ORACLE_SQL["fingerprint"].replace("from old)", "from o)")))
+
+
+def test_lexical_df_has_rare_tokens(spark, duck, sf_dir):
+    assert any(1 in r for r in same(QUERIES["lexical_df"](spark, sf_dir), duck.sql(ORACLE_SQL["lexical_df"].replace(" having count(*) >= 20", ""))))
+
+
+def test_symbol_tail_takes_rare_references(spark, duck, sf_dir):
+    same(QUERIES["symbol_tail"](spark, sf_dir), duck.sql(ORACLE_SQL["symbol_tail"].replace(" where n >= 6", "")))
+
+
+def test_symbol_tail_of_an_unreferenced_part(spark, duck, sf_dir, tmp_path):
+    """A part that nobody bought, beside the others."""
+    for t in TABLES:
+        part = " union all by name select * replace (-1 as p_partkey, 'lone part' as p_name) from part where p_partkey = (select min(p_partkey) from part)" if t == "part" else ""
+        duck.sql(f"copy (select * from {t}{part}) to '{tmp_path}/{t}.parquet' (format parquet)")
+    assert {r["name"].split("_")[0] for r in QUERIES["symbol_tail"](spark, str(tmp_path)).collect()} == {"lone part", "lone"}
