@@ -30,7 +30,8 @@ KINDS = ("assign", "access", "hex", "literal")
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "private": 0.5, "access": 0.4, "api": 0.4, "signing": 0.5, "encryption": 0.5, "client": 0.2, "key": 0.5, "salt": 0.6, "dsn": 0.6, "pass": 0.8}
 PLACEHOLDER = re.compile(r"(?i)example|changeme|change_me|placeholder|your[_-]|dummy|redacted|x{4,}|\*{3,}|^(true|false|null|none|nil|undefined|string|str|int|bool)$", re.ASCII)
 LEAST = 0.8
-NEEDLES = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "salt", "dsn")
+#: Words joined by capitals or marks, as names are.
+WORDS = re.compile(r"[A-Za-z]?[a-z]+(?:(?:[_./-][A-Z]?|[A-Z])[a-z]{2,})*", re.ASCII)
 
 _STRING = r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`"
 _PAIR = re.compile(rf"(?<![\w.$-])[\"']?([A-Za-z_][\w.-]{{0,127}})[\"']?[ \t]*(?::[ \t]*[A-Za-z_][\w<>\[\]|]{{0,40}}[ \t]*(?==))?(?::=|=>|[:=])[ \t]*(?:{_STRING}|([\w+/.$@!%^&*={{}}~-]+))", re.ASCII)
@@ -45,11 +46,16 @@ def name_score(name: str) -> float:
 
 
 def literal_score(value: str) -> float:
-    """0 for what is short, a placeholder or plain words; towards 1 for long random strings."""
+    """0 for what is short, a placeholder or plain words; towards 1 for long random strings.
+
+    A literal of two classes that is not made of words scores 1 from three bits a character on, which random ones of 16 characters have.
+    """
     if len(value) < 8 or " " in value or PLACEHOLDER.search(value):
         return 0.0
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
     classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    if classes > 1 and not WORDS.fullmatch(value):
+        return min(1.0, entropy / 3.0)
     return min(1.0, entropy / 3.5) * (0.6 + 0.2 * min(classes, 3)) / 1.2
 
 
@@ -77,8 +83,8 @@ def pairs(text: str) -> list[tuple[str, str | None, int, int, str | None]]:
 def lexed(text: str) -> set[tuple[int, int]]:
     """Spans of the literals that sensitive names hold, directly or through other names."""
     low = text.lower()
-    if not any(x in low for x in NEEDLES):
-        return set()
+    if sum(w for x, w in SENSITIVE.items() if x in low) < LEAST - 1e-9:
+        return set()  # no name can reach it: a name's parts stand in the text
     found = pairs(text)
     held: dict[str, list[tuple]] = defaultdict(list)
     for p in found:
