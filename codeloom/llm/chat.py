@@ -8,12 +8,13 @@ A message is one row (conv_id, turn, role, text). A text that is a JSON object m
 
 Calls and results are hash-joined by (conv_id, identifier): a result belongs to the first call of its id in the conversation, and
 the first result of an id answers it. A message's place is (order_turn, order_step): its own turn and step 0, but a result that stands before
-its call comes right after it, at the call's turn and step 1; so along every link order grows, and no conversation is gathered in one task.
+its call's place comes right after it, at the turn of that place and one step on; so along every link order grows. Chains of results that call
+again are followed by doubling, and no conversation is gathered in one task.
 Arguments are valid if all required ones are there, each has its declared type, and is one of its enum's values.
-Each message is written as canonical JSON: keys sorted, no spaces, null fields left out.
+Each message is written as canonical JSON, with all fields of its object and its role: keys sorted, no spaces, null fields of the object left out.
 
 Defined cases: null text is an empty content; text that is no JSON object, or an object with none of these keys, is plain content; null conv_id or turn link with nothing; a call
-without id is never answered; a call of a tool that its conversation does not declare has no verdict (``n_unknown``); where a
+without id is never answered; calls that lead back to themselves keep their own turns; a call of a tool that its conversation does not declare has no verdict (``n_unknown``); where a
 tool is declared twice the first declaration holds; rows that repeat a message are formatted each; an empty table gives an empty result; other columns are not read.
 """
 
@@ -78,12 +79,46 @@ def validated(all_calls: DataFrame, tools: DataFrame) -> DataFrame:
     return rows.withColumn("valid", F.when(F.col("declared"), good)).select("conv_id", "turn", "at", "call_id", "name", "valid")
 
 
+def call_places(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """conv_id, call_id, call_turn of the first call of each id, and its message's place as (place_turn, place_step)."""
+    made = rows.where("m.tool_calls is not null and turn is not null").select("conv_id", "turn", F.col("m.tool_call_id").alias("up"), F.explode("m.tool_calls.id").alias("call_id")).where("conv_id is not null and call_id is not null")
+    first = made.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "up")).alias("c")).select("conv_id", "call_id", F.col("c.turn").alias("call_turn"), F.col("c.up").alias("up"))
+    placed = first.select("conv_id", "call_id", "call_turn", F.col("call_turn").alias("place_turn"), F.lit(0).alias("place_step"))
+    # The calls of messages that answer other calls; all others are roots at their own turn.
+    known = first.select("conv_id", F.col("call_id").alias("up"))
+    below = scratch.save(first.where("up is not null").join(known, ["conv_id", "up"], "left_semi").select("conv_id", "call_id", "up"), "below")
+    if below.isEmpty():
+        return placed
+    most, reach, turn = below.groupBy("conv_id").count().agg(F.max("count")).first()[0], 1, 0
+    # best: the greatest (turn, steps from it) over a call and its nearest ancestors, ``reach`` in all; up: the next one.
+    below = first.drop("up").join(below, ["conv_id", "call_id"], "left")
+    below = scratch.save(below.select("conv_id", "call_id", F.struct(F.col("call_turn").alias("t"), F.lit(0).alias("k")).alias("best"), "up"), "chain0")
+    while reach <= most and not below.where("up is not null").isEmpty():
+        over = below.select("conv_id", F.col("call_id").alias("up"), F.col("best").alias("over"), F.col("up").alias("next"))
+        told = F.when(F.col("over").isNotNull(), F.struct(F.col("over.t").alias("t"), (F.col("over.k") + reach).alias("k")))
+        turn += 1
+        below = scratch.save(below.join(over, ["conv_id", "up"], "left").select("conv_id", "call_id", F.greatest("best", told).alias("best"), F.col("next").alias("up")), f"chain{turn}")
+        scratch.drop(f"chain{turn - 1}")
+        reach *= 2
+    moved = below.where("up is null").select("conv_id", "call_id", "best")
+    placed = placed.join(moved, ["conv_id", "call_id"], "left")
+    return placed.select("conv_id", "call_id", "call_turn", F.coalesce("best.t", "place_turn").alias("place_turn"), F.coalesce("best.k", "place_step").alias("place_step"))
+
+
+def whole(text: Column, role: Column) -> Column:
+    """The object of ``text`` with the message's role, as canonical JSON."""
+    fields = F.map_filter(F.from_json(text, "map<string, variant>"), lambda k, v: v.isNotNull() & ~F.is_variant_null(v) & ~((k == "role") & role.isNotNull()))
+    fields = F.map_concat(fields, F.when(role.isNotNull(), F.create_map(F.lit("role"), role.cast("variant"))).otherwise(F.from_json(F.lit("{}"), "map<string, variant>")))
+    keys = F.array_sort(F.map_keys(fields))
+    return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(fields, k))))
+
+
 def formatted(messages: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, kind, n_calls, n_answered, n_valid, n_unknown, call_turn, order_turn, order_step, json."""
     every = parsed(messages.select("conv_id", "turn", "role", "text"))
     rows, scratch = every.where("m is not null"), Scratch(messages.sparkSession)
     made = calls(rows)
-    first_call = made.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"))
+    first_call = call_places(rows, scratch)
     results = rows.where("m.tool_call_id is not null").select("conv_id", "turn", F.col("m.tool_call_id").alias("call_id"))
     answered = results.select("conv_id", "call_id").distinct().withColumn("answered", F.lit(1))
     # written, so that a conversation of very many calls of one tool can be split
@@ -96,15 +131,14 @@ def formatted(messages: DataFrame) -> DataFrame:
     # Messages without an identifier join by their own turn, not all by null.
     linked = rows.withColumn("call_id", F.col("m.tool_call_id")).withColumn("alone", F.when(F.col("call_id").isNull(), F.xxhash64("turn")).otherwise(F.lit(0)))
     linked = linked.join(first_call.withColumn("alone", F.lit(0)).hint("shuffle_hash"), ["conv_id", "call_id", "alone"], "left").join(told.hint("shuffle_hash"), ["conv_id", "turn"], "left")
-    called, late = F.col("m.tool_calls").isNotNull(), F.coalesce(F.col("call_turn") >= F.col("turn"), F.lit(False))
+    called, late = F.col("m.tool_calls").isNotNull(), F.coalesce(F.col("place_turn") >= F.col("turn"), F.lit(False))
     kind = F.when(called, "calls").when(F.col("call_id").isNotNull(), "result").when(F.col("m.tools").isNotNull(), "tools").otherwise("message")
-    tool_calls = F.transform("m.tool_calls", lambda c: F.struct(c["arguments"].alias("arguments"), c["id"].alias("id"), c["name"].alias("name")))
-    own = F.to_json(F.struct(F.col("m.content").alias("content"), F.col("role"), F.col("call_id").alias("tool_call_id"), tool_calls.alias("tool_calls"), F.when(F.col("m.tools").isNotNull(), F.expr("variant_get(try_parse_json(text), '$.tools', 'variant')")).alias("tools")))
+    own = whole(F.col("text"), F.col("role"))
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     linked = linked.select(
         "conv_id", "turn", "role", kind.alias("kind"), count(F.when(called, F.size("m.tool_calls"))).alias("n_calls"),
         *[count(F.when(called, F.col(c))).alias(c) for c in ("n_answered", "n_valid", "n_unknown")], "call_turn",
-        F.when(late, F.col("call_turn")).otherwise(F.col("turn")).alias("order_turn"), F.when(late, 1).otherwise(0).alias("order_step"), own.alias("json"),
+        F.when(late, F.col("place_turn")).otherwise(F.col("turn")).alias("order_turn"), F.when(late, F.col("place_step") + 1).otherwise(0).alias("order_step"), own.alias("json"),
     )
     zero = F.lit(0).cast("long")
     plain = every.where("m is null").select(

@@ -1,11 +1,12 @@
 """Cases that operators for training text passed over."""
 
+import json
 import random
 import string
 
 import pytest
 
-from codeloom.llm import secrets
+from codeloom.llm import chat, secrets
 
 
 def literals(text):
@@ -26,3 +27,27 @@ def test_secrets_of_two_classes(name):
             if sum(any(c in x for c in value) for x in (string.ascii_lowercase, string.ascii_uppercase, string.digits)) == 2:
                 assert literals(f'{name} = "{value}"') == [value]
     assert not literals(f'{name} = "internationalization"') and not literals(f'{name} = "accessProviderName"') and not literals(f'{name} = "access_provider"')
+
+
+def message(calls=(), answers=None, **more):
+    return json.dumps(({"tool_calls": [{"id": c, "name": "f", "arguments": {}} for c in calls]} if calls else {}) | ({"tool_call_id": answers} if answers else {}) | more)
+
+
+def test_chat_order_grows_along_chains(spark):
+    rows = [(1, 5, message(["c1"])), (1, 3, message(["c2"], "c1")), (1, 4, message((), "c2"))]
+    # a longer chain against the turns, a call that answers an unknown one, two calls in a circle and one that answers itself
+    rows += [(2, 40 - i, message([f"d{i + 1}"], f"d{i}")) for i in range(21)] + [(2, 1, message((), "d21")), (2, 50, message((), "d21"))]
+    rows += [(3, 7, message(["e1"], "e2")), (3, 8, message(["e2"], "e1")), (3, 9, message(["g"], "g")), (3, 2, message((), "e1")), (4, 3, message(["c1"])), (4, 1, message((), "c1"))]
+    got = {(r["conv_id"], r["turn"]): (r["order_turn"], r["order_step"]) for r in chat.formatted(spark.createDataFrame([(c, t, "tool", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 5] == (5, 0) and got[1, 3] == (5, 1) and got[1, 4] == (5, 2)
+    assert [got[2, 40 - i] for i in range(21)] == [(40, i) for i in range(21)] and got[2, 1] == (40, 21) and got[2, 50] == (50, 0)
+    assert got[3, 7] == (8, 1) and got[3, 8] == (8, 0) and got[3, 9] == (9, 1) and got[3, 2] == (7, 1) and got[4, 1] == (3, 1)
+
+
+def test_chat_keeps_every_field(spark):
+    one = {"tool_call_id": "c1", "is_error": True, "content": "x", "gone": None}
+    two = {"type": "m", "tool_calls": [{"type": "function", "id": "c1", "function": {"name": "f", "arguments": "{}"}}], "tools": [{"name": "f", "strict": False}]}
+    rows = [(1, 1, None, json.dumps(one)), (1, 0, "assistant", json.dumps(two | {"role": "other"}))]
+    got = {r["turn"]: r["json"] for r in chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    canonical = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"))
+    assert got[1] == canonical({k: v for k, v in one.items() if v is not None}) and got[0] == canonical(two | {"role": "assistant"})
