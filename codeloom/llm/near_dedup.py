@@ -1,7 +1,7 @@
 """MinHash near-deduplication: universal hash minima, banding, signature and exact checks, connected components.
 
 A document's set holds 64-bit hashes of its different word shingles (A-Z lower-cased; with fewer words than a shingle, all words as one).
-Documents with the same set form a class, named by its smallest doc_id, and only classes are compared. A class has
+Documents with the same set form a class, numbered, with its smallest doc_id beside it, and only classes are compared. A class has
 ``BANDS * ROWS`` minima of x -> a * x + b mod 2**64; classes that share a band's minima form a bucket. A pair at similarity 0.8 shares
 none of 50 bands of 6 with probability 3e-7.
 
@@ -13,7 +13,8 @@ then by sets, and cells pass on only links. So a link is lost only if no band or
 
 Defined cases: without words or text a set is empty, and the row is linked with nothing, its component being its own
 doc_id; rows of null doc_id take part by their class, and are a component of null where no other is in it; rows that repeat a doc_id are
-judged each by their own set; an empty table gives an empty result; other columns are kept by ``near_dedup``.
+judged each by their own set, so two components may bear one doc_id, and ``kept`` holds for each row of it; ``near_dedup`` keeps one row of each
+component (null-doc_id classes that are in no other: one of each class); an empty table gives an empty result; other columns are kept by ``near_dedup``.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def minima(sets: list[np.ndarray], n: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, set (hi, lo), bands and a byte signature for each row; the last four are null for an empty set."""
+    """doc_id, text_id, n, set (hi, lo), bands and a byte signature for each row; the last four are null for an empty set."""
     hashes = WordHashes()
 
     def work(batch: pa.RecordBatch):
@@ -91,9 +92,9 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 d = xxhash.xxh3_128_intdigest(sets[i].tobytes())
                 hi[i], lo[i] = (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
                 bands[i], bytes_[i] = keys[j], low[j].tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())], names=["doc_id", "n", "hi", "lo", "bands", "signature"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())], names=["doc_id", "text_id", "n", "hi", "lo", "bands", "signature"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, n long, hi long, lo long, bands array<long>, signature binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_id")), work, "doc_id long, text_id long, n long, hi long, lo long, bands array<long>, signature binary")
 
 
 def windows_of(rows: np.ndarray) -> np.ndarray:
@@ -110,9 +111,9 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, scratch: Scratch) ->
     ``small``: the high halves of the hashes, in order, as bytes.
     """
     spark = docs.sparkSession
-    ids = scratch.save(nodes.select("node").distinct(), "wanted")
+    ids = scratch.save(nodes.select("first").distinct(), "wanted")
     bits = bloom.bits_for(ids.count())
-    held = spark.sparkContext.broadcast(bloom.build(ids.select(F.xxhash64("node")), bits, max(2, spark.sparkContext.defaultParallelism)))
+    held = spark.sparkContext.broadcast(bloom.build(ids.select(F.xxhash64("first")), bits, max(2, spark.sparkContext.defaultParallelism)))
     hashes = WordHashes()
 
     def work(batch: pa.RecordBatch):
@@ -121,10 +122,10 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, scratch: Scratch) ->
             batch = batch.take(pa.array(hit))
             sets = shingles(texts(batch), hashes, width)
             keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([(k >> 64) - (1 << 63) for k in keys], pa.int64()), pa.array([(k & ((1 << 64) - 1)) - (1 << 63) for k in keys], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())], names=["node", "hi", "lo", "set", "small"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([(k >> 64) - (1 << 63) for k in keys], pa.int64()), pa.array([(k & ((1 << 64) - 1)) - (1 << 63) for k in keys], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())], names=["first", "hi", "lo", "set", "small"])
 
-    rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").withColumn("h", F.xxhash64("doc_id")), work, "node long, hi long, lo long, set array<long>, small binary")
-    return scratch.save(rows.join(nodes.select("node", "hi", "lo").distinct(), ["node", "hi", "lo"], "left_semi").select("node", "set", "small").dropDuplicates(["node"]), "sets")
+    rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").withColumn("h", F.xxhash64("doc_id")), work, "first long, hi long, lo long, set array<long>, small binary")
+    return scratch.save(rows.join(nodes.select("node", "first", "hi", "lo"), ["first", "hi", "lo"]).select("node", "set", "small").dropDuplicates(["node"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -212,14 +213,14 @@ def _cells(rows: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch,
     return left.unionAll(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row."""
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, text_id, n, hi, lo, label (of the component's classes; null for none) and component_id for each row."""
     spark = tuned(docs.sparkSession)
     scratch = Scratch(spark)
     rows = scratch.save(signed(docs, width), "signed")
-    classes = scratch.save(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "classes")
-    named = classes.where("node is not null")
-    nodes = rows.join(named.withColumnRenamed("node", "doc_id"), ["hi", "lo", "doc_id"]).withColumnRenamed("doc_id", "node")
+    classes = scratch.save(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    named = classes.where("first is not null")
+    nodes = rows.join(named.withColumnRenamed("first", "doc_id"), ["hi", "lo", "doc_id"]).dropDuplicates(["node"])
 
     banded = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = scratch.save(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
@@ -260,16 +261,35 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
             if last:
                 break
         scratch.drop("members", "famous", "sets", "shared", "fame")
-    named = named.withColumn("component_id", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("component_id", F.coalesce("label", "node"))
-    named = scratch.save(named.select("hi", "lo", "component_id"), "named")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "hi", "lo").join(named, ["hi", "lo"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = named.withColumn("label", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = scratch.save(named.select("hi", "lo", "label", "first"), "named")
+    named = scratch.save(named.select("hi", "lo", "label").join(named.groupBy("label").agg(F.min("first").alias("component_id")), "label"), "components")
+    out = rows.select("doc_id", "text_id", "n", "hi", "lo").join(named, ["hi", "lo"], "left")
+    return out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+
+
+def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row."""
+    return _grouped(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller doc_id; rows of null doc_id stay."""
-    mark = fresh(docs, "kept")
-    kept = near_groups(docs.select("doc_id", "text"), width, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(mark)).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long") == F.col(mark), "left")
-    return rows.where(F.col(mark).isNotNull() | F.col("doc_id").isNull()).drop(mark)
+    """``docs`` with one row of each component, of its smallest doc_id; rows without words stay."""
+    mark, text = fresh(docs, "kept"), fresh(docs, "text_id")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.save(_grouped(docs.select("doc_id", "text"), width, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "kept")
+    own = F.col("doc_id").cast("long")
+    many = scratch.save(rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"), "many")
+    if many.isEmpty() and docs.where("doc_id is null").isEmpty():
+        return docs.join(rows.select(F.col("doc_id").alias(mark)), own == F.col(mark), "left_semi")
+    # Rows that share a doc_id are told apart by their texts, and one of each component stays.
+    several = rows.join(many, rows["doc_id"].eqNullSafe(many["doc_id"]), "left_semi")
+    once = rows.join(many, rows["doc_id"].eqNullSafe(many["doc_id"]), "left_anti").select(F.col("doc_id").alias(mark), F.col("text_id").alias(text))
+    alone = F.col("label").isNull()
+    key = F.when(F.col("n") > 0, F.struct("label", F.when(alone, F.col("hi")).alias("hi"), F.when(alone, F.col("lo")).alias("lo")))
+    group = fresh(docs, "key")
+    told = several.select(F.col("doc_id").alias(mark), F.col("text_id").alias(text), key.alias(group)).distinct()
+    hit = own.eqNullSafe(F.col(mark)) & (F.xxhash64("text") == F.col(text))
+    left = docs.join(told, hit)
+    left = left.where(F.col(group).isNotNull()).dropDuplicates([group]).unionByName(left.where(F.col(group).isNull())).select(*docs.columns)
+    return docs.join(once, hit, "left_semi").unionByName(left)

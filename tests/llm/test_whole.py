@@ -6,7 +6,7 @@ import string
 
 import pytest
 
-from codeloom.llm import chat, secrets
+from codeloom.llm import chat, near_dedup, secrets
 
 
 def literals(text):
@@ -51,3 +51,16 @@ def test_chat_keeps_every_field(spark):
     got = {r["turn"]: r["json"] for r in chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     canonical = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"))
     assert got[1] == canonical({k: v for k, v in one.items() if v is not None}) and got[0] == canonical(two | {"role": "assistant"})
+
+
+def test_near_dedup_of_repeated_doc_ids(spark):
+    text = lambda seed, n=60: " ".join(f"w{random.Random(seed).randrange(10**6) + k}" for k in range(n))
+    a, b, c = text(1), text(2), text(3)
+    rows = [(1, a, 0), (1, b, 1), (1, a, 2), (2, a + " end", 3), (3, b + " end", 4), (4, c, 5), (None, a, 6), (None, text(4), 7), (None, text(4), 8), (5, "", 9), (5, "", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x long")
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(docs, 5, 80).collect()), key=str)
+    assert got == sorted([(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (4, 4, True), (None, 1, False)] + [(None, None, True)] * 2 + [(5, 5, True)] * 2, key=str)
+    kept = near_dedup.near_dedup(docs, 5, 80)
+    assert kept.columns == docs.columns
+    x = sorted(r["x"] for r in kept.collect())
+    assert len(x) == 6 and len({0, 2} & set(x)) == 1 and len({7, 8} & set(x)) == 1 and {1, 5, 9, 10} <= set(x)
