@@ -1,8 +1,8 @@
-"""Substring deduplication on a compacted de Bruijn graph of words.
+"""Substring deduplication by minimizer partitioning and window hashes.
 
-Edges of the graph are windows of ``WIDTH`` words. A path is a run of consecutive windows of one document whose least
+No de Bruijn graph is built: there are no nodes or degrees, and paths are not joined where they don't branch. Windows have ``WIDTH`` words. A path is a run of consecutive windows of one document whose least
 ``ANCHOR``-word hash (their anchor) is at the same place: all windows with the same words have the same anchor, so equal windows lie in paths of
-one anchor, at the same distance from it. The graph is compacted in three steps:
+one anchor, at the same distance from it. Repeats are found in three steps:
 
 1. anchors are counted over all documents, added up before the shuffle; anchors found once can hold no repeat, and a filter of
    bounded size spares most of their paths the next step (what it lets through is only looked at in vain);
