@@ -5,30 +5,45 @@ Each level is one join of the frontier with the edges less what is already reach
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import is_test_file
-from ..session import stable
+from ..session import release, stable
+
+#: Levels of a closure that are read apart before they become one table.
+FOLD = 8
 
 
 def transitive_dependents(edges: DataFrame, start: DataFrame, type_edges: DataFrame | None = None, max_hops: int | None = None) -> DataFrame:
-    """path, hop of all that reach ``start`` (path), which is left out; hop is the first level."""
+    """path, hop of all that reach ``start`` (path), which is left out; hop is the first level.
+
+    A level is written once and never again: what is reached is the union of all levels, folded into one table every ``FOLD`` levels.
+    """
     back = edges.select("src", "dst")
     if type_edges is not None:
         back = back.union(type_edges.select("src", "dst"))
     back = stable(back.where("src <> dst").distinct().repartition("dst"))
-    reached = stable(start.select("path", F.lit(0).alias("hop")).distinct())
-    frontier, hop = reached.select("path"), 0
+    frontier = stable(start.select("path", F.lit(0).alias("hop")).distinct())
+    levels, hop = [frontier], 0
     while max_hops is None or hop < max_hops:
         hop += 1
-        new = back.join(frontier.withColumnRenamed("path", "dst"), "dst", "left_semi").select(F.col("src").alias("path")).distinct()
-        new = stable(new.join(reached, "path", "left_anti").withColumn("hop", F.lit(hop)))
-        if new.isEmpty():
+        new = back.join(frontier.select(F.col("path").alias("dst")), "dst", "left_semi").select(F.col("src").alias("path")).distinct()
+        for level in levels:
+            new = new.join(level, "path", "left_anti")
+        frontier = stable(new.withColumn("hop", F.lit(hop)))
+        if frontier.isEmpty():
             break
-        reached, frontier = stable(reached.union(new)), new.select("path")
-    return reached.where("hop > 0")
+        levels.append(frontier)
+        if len(levels) > FOLD:
+            whole = stable(reduce(DataFrame.unionAll, levels))
+            release(*levels[:-1])
+            levels = [whole]
+    release(back)
+    return reduce(DataFrame.unionAll, levels).where("hop > 0")
 
 
 def affected(edges: DataFrame, start: DataFrame, type_edges: DataFrame | None = None, is_test=is_test_file) -> DataFrame:
@@ -36,6 +51,13 @@ def affected(edges: DataFrame, start: DataFrame, type_edges: DataFrame | None =
     return transitive_dependents(edges, start, type_edges).withColumn("is_test", is_test(F.col("path")))
 
 
+def coverage(edges: DataFrame, start: DataFrame, type_edges: DataFrame | None = None, is_test=is_test_file) -> DataFrame:
+    """file, dependents, tests, covered of one file: covered if a test reaches it, or if it is a test itself."""
+    reach = affected(edges, start, type_edges, is_test).agg(F.count("*").alias("dependents"), F.coalesce(F.sum(F.col("is_test").cast("long")), F.lit(0)).alias("tests"))
+    one = start.select(F.col("path").alias("file"), F.lit(1).alias("one")).join(reach.withColumn("one", F.lit(1)), "one")
+    return one.select("file", "dependents", "tests", ((F.col("tests") > 0) | is_test(F.col("file"))).alias("covered"))
+
+
 def clamp_depth(depth: int) -> int:
     return max(1, min(S.MAX_DEPTH, depth))
 
@@ -64,7 +86,8 @@ def call_closure(calls: DataFrame, file: str, name: str, depth: int, ranks: Data
     """file, name, line, depth, via, truncated of the call sites (or called symbols) within ``depth`` hops.
 
     Sites count once, symbols are followed once, top-level code is not followed; ``via`` is the parent as file:name:line, null at the
-    first hop. A level follows at most ``frontier_cap`` symbols, best files first, and rows stop at ``node_cap``.
+    first hop. A level follows at most ``frontier_cap`` symbols, best files first, and no level begins once ``node_cap`` rows are found;
+    ``truncated`` tells that either may have left rows out.
     """
     depth = clamp_depth(depth)
     if direction == "callers":
@@ -77,8 +100,8 @@ def call_closure(calls: DataFrame, file: str, name: str, depth: int, ranks: Data
     rows = stable(rows.distinct().repartition("to_file", "to_name"))
     frontier = spark.createDataFrame([(file, name, None)], "to_file string, to_name string, via string")
     followed = spark.createDataFrame([(file, name)], "file string, name string")
-    out, total = None, 0
-    ranks = ranks.select(F.col("path").alias("file"), "rank") if ranks is not None else None
+    out, total, cut = None, 0, False
+    ranks = stable(ranks.select(F.col("path").alias("file"), "rank")) if ranks is not None else None
     for hop in range(1, depth + 1):
         new = rows.join(frontier, ["to_file", "to_name"]).where(~((F.col("file") == file) & (F.col("name") == name))) if direction != "callers" else rows.join(frontier, ["to_file", "to_name"])
         new = new.groupBy(*site).agg(F.min(F.struct("name", "own_line", "via")).alias("m")).select(*site, *[F.col(f"m.{c}").alias(c) for c in ("name", "own_line", "via") if c not in site])
@@ -90,14 +113,19 @@ def call_closure(calls: DataFrame, file: str, name: str, depth: int, ranks: Data
             break
         out, total = new if out is None else stable(out.unionByName(new)), total + n
         if total >= node_cap:
+            cut = True
+            break
+        if hop == depth:
             break
         step = new.where("name <> '<module>'").groupBy("file", "name").agg(F.min("own_line").alias("own_line")).join(followed, ["file", "name"], "left_anti")
         step = step.join(ranks, "file", "left") if ranks is not None else step.withColumn("rank", F.lit(0.0))
-        step = stable(step.orderBy(F.desc(F.coalesce("rank", F.lit(0.0))), "file", "name").limit(frontier_cap))
+        step = stable(step.orderBy(F.desc(F.coalesce("rank", F.lit(0.0))), "file", "name").limit(frontier_cap + 1))
+        if step.count() > frontier_cap:
+            cut, step = True, step.orderBy(F.desc(F.coalesce("rank", F.lit(0.0))), "file", "name").limit(frontier_cap)
         followed = stable(followed.union(step.select("file", "name")))
         frontier = step.select(F.col("file").alias("to_file"), F.col("name").alias("to_name"), F.concat_ws(":", "file", "name", "own_line").alias("via"))
     if out is None:
         return spark.createDataFrame([], "file string, name string, line int, depth int, via string, truncated boolean")
     out = out.join(ranks, "file", "left") if ranks is not None else out.withColumn("rank", F.lit(0.0))
     top = out.orderBy("depth", F.desc(F.coalesce("rank", F.lit(0.0))), "file", "line", "name").limit(node_cap)
-    return top.select("file", "name", F.col("line").cast("int").alias("line"), "depth", "via", F.lit(total > node_cap).alias("truncated"))
+    return top.select("file", "name", F.col("line").cast("int").alias("line"), "depth", "via", F.lit(cut).alias("truncated"))

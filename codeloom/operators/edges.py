@@ -75,3 +75,16 @@ def precision_recall(found: DataFrame, true: DataFrame) -> DataFrame:
     out = each.agg(F.count("*").alias("queries"), F.avg("p").alias("p"), F.avg("r").alias("r"))
     f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
     return out.select("queries", F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), F.round(f1, 6).alias("f1"))
+
+
+def hit_rates(ranked: DataFrame, true: DataFrame, tops: tuple[int, ...] = (1, 3)) -> DataFrame:
+    """queries, top1, top3 (6 places): the share of the queries of ``true`` (query, path) with a true path among the first of ``ranked`` (query, path, pos)."""
+    asked = true.select("query").distinct()
+    best = ranked.join(true.select("query", "path").distinct(), ["query", "path"], "left_semi").groupBy("query").agg(F.min("pos").alias("pos"))
+    rows = asked.join(best, "query", "left")
+    return rows.agg(F.count("*").alias("queries"), *[F.round(F.avg(F.coalesce((F.col("pos") <= k).cast("double"), F.lit(0.0))), 6).alias(f"top{k}") for k in tops])
+
+
+def token_ratio(rows: DataFrame) -> DataFrame:
+    """cases, median_ratio (6 places) of (baseline, answer) token counts; answers without tokens are left out."""
+    return rows.where("answer > 0").agg(F.count("*").alias("cases"), F.round(F.median(F.col("baseline") / F.col("answer")), 6).alias("median_ratio"))

@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions import subtokens
+from ..functions import subtokens, subtokens_of
+from ..session import stable
 
 
 @dataclass
 class LexicalIndex:
-    """postings (doc_id, token, tf), docs (doc_id, path, name, kind, len), df (token, n), and two numbers."""
+    """postings (*key, len, token, tf), docs (*key, len), df (token, n) and stats (one row: n_docs, avgdl)."""
 
     postings: DataFrame
     docs: DataFrame
     df: DataFrame
-    stats: DataFrame  # one row: n_docs, avgdl
+    stats: DataFrame
 
 
-def symbol_documents(symbols: DataFrame, limit: int | None = S.LEXICAL_DOCS) -> DataFrame:
-    """path, name, kind, tokens: parts of the name, the path without a code extension, the feature, and the kind in one word."""
+def symbol_documents(symbols: DataFrame, limit: int | None = None) -> DataFrame:
+    """path, name, kind, tokens: parts of the name, the path without a code extension, the feature, and the kind in one word.
+
+    All symbols by default: no file has to hold the index, so it needs no cap.
+    """
     bare = F.regexp_replace("path", r"\.(?:" + "|".join((*S.CODE_EXTENSIONS, S.SFC_EXTENSION)) + r")$", "")
     kind = F.lower(F.regexp_replace(F.coalesce("kind", F.lit("")), "Declaration$", ""))
     feature = subtokens(F.coalesce("feature", F.lit(""))) if "feature" in symbols.columns else F.array().cast("array<string>")
@@ -33,47 +39,79 @@ def symbol_documents(symbols: DataFrame, limit: int | None = S.LEXICAL_DOCS) ->
 
 
 def build_index(documents: DataFrame, key: list[str]) -> LexicalIndex:
-    """An index of (*key, tokens); ``key`` names the columns that tell documents apart."""
-    docs = documents.withColumn("len", F.size("tokens"))
-    postings = docs.select(*key, F.explode("tokens").alias("token")).groupBy(*key, "token").agg(F.count("*").alias("tf"))
+    """An index of (*key, tokens), for many questions; texts are cut into tokens once. ``key`` tells documents apart."""
+    docs = stable(documents.withColumn("len", F.size("tokens")))
+    postings = stable(docs.select(*key, "len", F.explode("tokens").alias("token")).groupBy(*key, "len", "token").agg(F.count("*").alias("tf")))
     df = postings.groupBy("token").agg(F.count("*").alias("n"))
-    stats = docs.agg(F.count("*").alias("n_docs"), F.round(F.avg("len"), 4).alias("avgdl"))
-    return LexicalIndex(postings, docs.drop("tokens"), df, stats)
+    docs = docs.drop("tokens")
+    return LexicalIndex(postings, docs, df, statistics(docs))
+
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """One row, n_docs and avgdl (4 places), of (len)."""
+    return docs.agg(F.count("*").alias("n_docs"), F.round(F.avg("len"), 4).alias("avgdl"))
+
+
+def document_frequencies(documents: DataFrame) -> DataFrame:
+    """token, n: the documents (tokens) that hold each token."""
+    return documents.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 def query_tokens(query: str) -> list[str]:
-    """The query's parts without stop words; the same cuts as ``subtokens``."""
-    import re
+    """The query's parts without stop words."""
+    return [x for x in subtokens_of(query) if x not in S.STOPWORDS]
+
 
-    cut = re.sub("([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub("([a-z0-9])([A-Z])", r"\1 \2", query))
-    parts = re.split("[^a-zA-Z0-9]+|(?<=[a-zA-Z])(?=[0-9])|(?<=[0-9])(?=[a-zA-Z])", cut)
-    return [x.lower() for x in parts if x and x.lower() not in S.STOPWORDS]
+def _part(n: int, n_docs: int, avgdl: float, tf: Column) -> Column:
+    """What one token adds to a document's score, its length being ``len``."""
+    idf = F.log(F.lit(1 + (n_docs - n + 0.5) / (n + 0.5)))
+    return idf * (tf * (S.BM25_K1 + 1)) / (tf + S.BM25_K1 * (1 - S.BM25_B + S.BM25_B * (F.col("len") / (avgdl or 1.0))))
+
+
+def _fused(scored: DataFrame, key: list[str], ranks: DataFrame | None) -> DataFrame:
+    """*key and score (6 places) of positive sums ``s``, weighed by the rank of the path relative to the largest."""
+    scored = scored.where("s > 0")
+    if ranks is not None:
+        top = ranks.agg(F.max("rank")).first()[0] or 0.0
+        scored = scored.join(ranks.select("path", "rank"), "path", "left")
+        scored = scored.withColumn("s", F.col("s") * (1 + S.RANK_WEIGHT * (F.coalesce("rank", F.lit(0.0)) / top if top else F.lit(0.0))))
+    return scored.select(*key, F.round("s", 6).alias("score"))
 
 
 def bm25(index: LexicalIndex, query: str, key: list[str], ranks: DataFrame | None = None) -> DataFrame:
     """*key and score (6 places) of documents with a positive score. ``ranks``: (path, rank), weighed in relative to the largest.
 
-    Only the query's tokens reach the join, as a filter on the postings; a token that the query repeats counts each time.
+    Only the query's tokens are read, as a filter on the postings; a token that the query repeats counts each time.
     """
-    tokens = query_tokens(query)
-    times = {t: tokens.count(t) for t in tokens}
+    times = Counter(query_tokens(query))
     if not times:
         return index.docs.limit(0).select(*key, F.lit(0.0).alias("score"))
     stats = index.stats.first()  # two numbers
-    n_docs, avgdl = stats["n_docs"], stats["avgdl"] or 1.0
-    known = {r["token"]: r["n"] for r in index.df.where(F.col("token").isin(*times)).collect()}  # at most one row per query token
-    hits = index.postings.where(F.col("token").isin(*times)).join(index.docs.select(*key, "len"), key)
-    idf = times_of = F.lit(0.0)
-    for t, n in known.items():
-        idf = F.when(F.col("token") == t, F.log(F.lit(1 + (n_docs - n + 0.5) / (n + 0.5)))).otherwise(idf)
-        times_of = F.when(F.col("token") == t, float(times[t])).otherwise(times_of)
-    part = idf * (F.col("tf") * (S.BM25_K1 + 1)) / (F.col("tf") + S.BM25_K1 * (1 - S.BM25_B + S.BM25_B * (F.col("len") / avgdl)))
-    scored = hits.groupBy(*key).agg(F.sum(part * times_of).alias("s")).where("s > 0")
-    if ranks is not None:
-        top = ranks.agg(F.max("rank")).first()[0] or 0.0
-        scored = scored.join(ranks.select("path", "rank"), "path", "left")
-        scored = scored.withColumn("s", F.col("s") * (1 + S.RANK_WEIGHT * (F.coalesce("rank", F.lit(0.0)) / top if top else F.lit(0.0))))
-    return scored.select(*key, F.round("s", 6).alias("score"))
+    hits = index.postings.where(F.col("token").isin(*times))
+    part = F.lit(0.0)
+    for r in index.df.where(F.col("token").isin(*times)).collect():  # at most one row per query token
+        part = F.when(F.col("token") == r["token"], _part(r["n"], stats["n_docs"], stats["avgdl"], F.col("tf")) * float(times[r["token"]])).otherwise(part)
+    return _fused(hits.groupBy(*key).agg(F.sum(part).alias("s")), key, ranks)
+
+
+def _times(token: str) -> Column:
+    return F.size(F.filter("tokens", lambda x: x == F.lit(token)))
+
+
+def bm25_scan(documents: DataFrame, query: str, key: list[str], ranks: DataFrame | None = None) -> DataFrame:
+    """What ``bm25`` gives, for one question without an index: one pass counts the query's tokens in (*key, tokens), and no posting shuffles."""
+    times = Counter(query_tokens(query))
+    if not times:
+        return documents.limit(0).select(*key, F.lit(0.0).alias("score"))
+    names = [f"tf{i}" for i in range(len(times))]
+    counts = [_times(t).alias(c) for c, t in zip(names, times, strict=True)]
+    counted = stable(documents.select(*key, F.size("tokens").alias("len"), *counts))
+    stats = counted.agg(F.count("*").alias("n_docs"), F.round(F.avg("len"), 4).alias("avgdl"), *[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in names]).first()
+    total = F.lit(0.0)
+    for c, n in zip(names, times.values(), strict=True):
+        if stats[c]:
+            total = total + F.when(F.col(c) > 0, _part(stats[c], stats["n_docs"], stats["avgdl"], F.col(c)) * float(n)).otherwise(0.0)
+    return _fused(counted.select(*key, total.alias("s")), key, ranks)
 
 
 def top_matches(scored: DataFrame, order: list[str], limit: int = S.SYMBOL_MATCHES) -> DataFrame:
@@ -91,15 +129,11 @@ def content_search(texts: DataFrame, query: str, limit: int = S.CONTENT_LINES) -
     return hits.orderBy("path", "line_no").limit(limit).withColumn("total", F.lit(total).cast("long"))
 
 
-#: Files that a content search never opens, by name or path; the last three in either case.
-SENSITIVE_FILES = (
-    r"(^|/)\.env(\..*)?$", r"\.env$", r"\.(pem|key|p12|pfx|crt|p8|jks|keystore)$", r"(^|/)id_(rsa|ed25519|ecdsa)[^/]*$",
-    r"(^|/)\.(npmrc|netrc|git-credentials|pgpass|htpasswd|pypirc)$", r"(?i)secret", r"(?i)credential", r"(?i)password",
-)
-
-
 def searchable(files: DataFrame) -> DataFrame:
-    keep = F.lit(True)
-    for pattern in SENSITIVE_FILES:
-        keep = keep & ~F.col("path").rlike(pattern)
-    return files.where(keep)
+    """Files without those that may hold credentials, by the globs and name parts of the schema."""
+    globs = "|".join(re.escape(g).replace(r"\*", "[^/]*") for g in S.SENSITIVE_FILES)
+    low = F.lower("path")
+    hidden = F.col("path").rlike(f"(^|/)({globs})$")
+    for part in S.SENSITIVE_PARTS:
+        hidden = hidden | low.contains(part)
+    return files.where(~hidden)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import basename, declaration_site
+from ..session import stable
 
 
 def _origin(symbols: DataFrame) -> DataFrame:
@@ -43,16 +46,44 @@ def owners(symbols: DataFrame, name: str, within: str | None = None) -> DataFram
     return every.withColumn("first", first).where(F.col("local").cast("int") == F.col("first")).select("path", "kind", "local").distinct()
 
 
+def grams(text: Column, n: int) -> Column:
+    """All runs of n characters, each once."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n)))
+
+
+def _holding(queries: DataFrame, paths: DataFrame) -> DataFrame:
+    """query, path of the paths that hold a query in either case.
+
+    Each query is looked up by its rarest run of three characters (or by all of it, if it is shorter) among the runs of the paths.
+    """
+    low = paths.select("path", F.lower("path").alias("low"))
+    asked = queries.select("query", F.lower("query").alias("q")).where("query <> ''")
+    size = F.least(F.length("q"), F.lit(3))
+    asked = asked.select("query", "q", F.explode(F.when(size == 3, grams(F.col("q"), 3)).otherwise(F.array("q"))).alias("gram"))
+    wanted = asked.select("gram", F.length("gram").alias("n")).distinct()
+    sizes = [r["n"] for r in wanted.select("n").distinct().collect()]  # of 1, 2 and 3
+    every = paths.select(F.lit("").alias("query"), "path").join(queries, "query", "left_semi")  # the empty text is in all paths
+    if not sizes:
+        return every
+    held = reduce(DataFrame.unionAll, [low.select("path", "low", F.explode(grams(F.col("low"), n)).alias("gram")) for n in sizes])
+    held = stable(held.join(wanted, "gram", "left_semi"))
+    rare = asked.join(held.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").groupBy("query", "q").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return rare.join(held, "gram").where(F.col("low").contains(F.col("q"))).select("query", "path").unionAll(every)
+
+
 def resolve_file(paths: DataFrame, queries: DataFrame) -> DataFrame:
     """query, path, candidates: for each ``query`` its file. Exact path, else the only file of that name, else the only path that holds it.
 
-    ``path`` is null where none or several fit; ``candidates`` counts the files of the deciding rung.
+    ``path`` is null where none or several fit; ``candidates`` counts the files of the deciding rung. Paths are searched for what the
+    first two rungs leave open only.
     """
     q, p = queries.select("query").distinct(), paths.select("path").distinct()
     exact = q.join(p, F.col("query") == F.col("path")).select("query", "path", F.lit(1).alias("rung"))
     named = q.join(p.withColumn("base", F.lower(basename(F.col("path")))), F.lower("query") == F.col("base")).select("query", "path", F.lit(2).alias("rung"))
-    held = q.join(p, F.lower("path").contains(F.lower("query"))).select("query", "path", F.lit(3).alias("rung"))
-    rungs = exact.union(named).union(held).groupBy("query", "rung").agg(F.count("*").alias("n"), F.min("path").alias("path"))
+    first = stable(exact.union(named).groupBy("query", "rung").agg(F.count("*").alias("n"), F.min("path").alias("path")))
+    open_ = q.join(first.where("n = 1"), "query", "left_anti")
+    held = _holding(open_, p).withColumn("rung", F.lit(3))
+    rungs = first.unionByName(held.groupBy("query", "rung").agg(F.count("*").alias("n"), F.min("path").alias("path")))
     # the first rung with exactly one file decides; without one, the last rung with any
     best = rungs.groupBy("query").agg(F.min_by(F.struct("path", "n"), F.struct(F.col("n") != 1, F.when(F.col("n") == 1, F.col("rung")).otherwise(-F.col("rung")))).alias("b"))
     out = q.join(best, "query", "left")

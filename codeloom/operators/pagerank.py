@@ -12,22 +12,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..session import prepared, stable
+from ..session import prepared, release, stable
 
 KERNEL_EDGES = 1_000_000
 #: Ranks that differ by less than this many places are ties: sums in another order must not change an order of results.
 PLACES = 12
 
 
-def transitions(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """src, dst and weight of the edges that count, duplicates added up."""
-    known = nodes.select("node").distinct()
+def transitions(edges: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """src, dst and weight of the edges that count, duplicates added up; without ``nodes`` all ends are known."""
     rows = edges.where(F.col("src") != F.col("dst")).select("src", "dst", F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1.0).alias("weight"))
     rows = rows.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    if nodes is None:
+        return rows
+    known = nodes.select("node").distinct()
     return rows.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "weight")
 
 
@@ -53,10 +56,11 @@ def _kernel(rows: DataFrame, damping: float, tol: float, max_iter: int) -> DataF
         table = pa.Table.from_batches(held)
         src, dst, w = (table.column(c).combine_chunks() for c in ("src", "dst", "w"))
         edge = np.asarray(dst.is_valid())
-        names, w = np.asarray(src.to_pylist(), object), w.to_numpy()
-        order = np.argsort(names[~edge])
-        node, p = names[~edge][order], w[~edge][order]
-        a, b = np.searchsorted(node, names[edge]), np.searchsorted(node, np.asarray(dst.to_pylist(), object)[edge])
+        w, kept = w.to_numpy(), dst.is_valid()
+        node = src.filter(pc.invert(kept))
+        order = pc.sort_indices(node)
+        node, p = node.take(order), w[~edge][order.to_numpy()]
+        a, b = (pc.index_in(x.filter(kept), value_set=node).to_numpy() for x in (src, dst))
         order = np.lexsort((b, a))
         a, b, w = a[order], b[order], w[edge][order]
         n = len(node)
@@ -67,7 +71,7 @@ def _kernel(rows: DataFrame, damping: float, tol: float, max_iter: int) -> DataF
             change, r = np.abs(new - r).sum(), new
             if change < tol:
                 break
-        yield pa.RecordBatch.from_arrays([pa.array(node.tolist(), pa.string()), pa.array(r)], names=["node", "rank"])
+        yield pa.RecordBatch.from_arrays([node, pa.array(r)], names=["node", "rank"])
 
     return rows.coalesce(1).mapInArrow(run, "node string, rank double")
 
@@ -79,9 +83,13 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, personalization:
     """
     prepared(edges.sparkSession)
     if nodes is None:
-        nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    moves, base = stable(transitions(edges, nodes)), stable(teleport(nodes, personalization))
-    if max(moves.count(), base.count()) <= kernel_edges:
+        edges = stable(edges.select("src", "dst", "weight"))
+        nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        moves = stable(transitions(edges, None))
+    else:
+        moves = stable(transitions(edges, nodes))
+    base = stable(teleport(stable(nodes.select("node").distinct()), personalization))
+    if moves.count() <= kernel_edges and base.count() <= kernel_edges:
         rows = base.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("p").alias("w")).unionAll(moves.select("src", "dst", F.col("weight").alias("w")))
         return _kernel(rows, damping, tol, max_iter)
     out = moves.groupBy("src").agg(F.sum("weight").alias("total"))
@@ -90,18 +98,23 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, personalization:
     base = stable(base.withColumn("dangling", F.coalesce("dangling", F.lit(True))))
     rank = base.select("node", "p", "dangling", F.col("p").alias("r"), F.lit(0.0).alias("before"))
     lost = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("r"))), F.lit(0.0))).first()[0]
-    for _ in range(max_iter):
+    for step in range(max_iter):
+        before = rank
         flow = rank.select(F.col("node").alias("src"), "r").join(moves, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") * F.col("share")).alias("s"))
         new = (1 - damping) * F.col("p") + F.lit(damping * lost) * F.col("p") + damping * F.coalesce("s", F.lit(0.0))
         rank = stable(rank.join(flow, "node", "left").select("node", "p", "dangling", new.alias("r"), F.col("r").alias("before")))
         change, lost = rank.agg(F.sum(F.abs(F.col("r") - F.col("before"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("r"))), F.lit(0.0))).first()
+        if step:
+            release(before)
         if change is None or change < tol:
             break
+    release(moves)
     return rank.select("node", F.col("r").alias("rank"))
 
 
 def hubs(edges: DataFrame, limit: int = S.HUBS, **options) -> DataFrame:
     """path, pagerank (6 places) and in_degree of the highest ranks."""
+    edges = stable(edges)
     degree = in_degree(edges)
     rank = pagerank(edges, **options).withColumnRenamed("node", "path")
     top = rank.orderBy(F.desc(F.round("rank", PLACES)), "path").limit(limit)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import ancestors, normalize_url, url_of
+from ..session import prepared
+from ..sources.lexer import read_source
 
 ROUTE_FILE = r"(^|/)(page|route|layout)\.(t|j)sx?$"
 
@@ -17,6 +20,23 @@ def app_folder(files: DataFrame) -> str | None:
     return "app" if hit[0] else "src/app" if hit[1] else None
 
 
+def exported(files: DataFrame) -> DataFrame:
+    """path, methods, alias of route files (path, text): the HTTP methods that a file exports, and where it forwards its default from."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                facts = read_source(text or "")
+                names = {s["name"] for s in facts.symbols if s["is_export"]}
+                alias = [i["spec"] for i in facts.imports if i["form"] == "reexport" and {"local": "default", "name": "default"} in i["locals"]]
+                rows.append({"path": path, "methods": [m for m in S.HTTP_METHODS if m in names], "alias": alias[0] if alias else None})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("methods", pa.list_(pa.string())), ("alias", pa.string())]))
+
+    prepared(files.sparkSession)
+    return files.select("path", "text").mapInArrow(run, "path string, methods array<string>, alias string")
+
+
 def route_table(files: DataFrame) -> DataFrame | None:
     """url, kind, path, methods, alias, layouts, boundary of ``files`` (path, text, rsc); None without an app folder.
 
@@ -32,11 +52,10 @@ def route_table(files: DataFrame) -> DataFrame | None:
     kind = F.when(F.col("path").rlike(r"(^|/)page\."), "page").when(F.col("path").rlike(r"(^|/)route\."), "route")
     folder = F.regexp_replace("path", r"/?[^/]+$", "")
     rows = own.withColumn("kind", kind).withColumn("folder", folder)
-    methods = F.filter(F.array(*[F.when(F.col("text").rlike(rf"export\s+(async\s+)?(function|const)\s+{m}\b"), F.lit(m)) for m in S.HTTP_METHODS]), lambda x: x.isNotNull())
-    alias = F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), r"export\s*\{\s*default(?:\s+as\s+default)?\s*\}\s*from\s*[\"']([^\"']+)[\"']", 1), F.lit(""))
-    routes = rows.where("kind is not null").select(
+    said = rows.where("kind is not null").select("path", "text")
+    routes = rows.where("kind is not null").join(exported(said), "path", "left").select(
         url_of(F.expr(f"substring(folder, {len(app) + 1})")).alias("url"), "kind", "path",
-        F.when(F.col("kind") == "route", methods).alias("methods"), alias.alias("alias"), F.col("rsc").alias("boundary"),
+        F.when(F.col("kind") == "route", F.coalesce("methods", F.array().cast("array<string>"))).alias("methods"), "alias", F.col("rsc").alias("boundary"),
     )
     layouts = rows.where(F.col("path").rlike(r"(^|/)layout\.(t|j)sx?$")).groupBy("folder").agg(F.max("path").alias("layout"))
     above = routes.where("kind = 'page'").select("path", F.explode(ancestors(F.col("path"))).alias("folder")).where(F.col("folder").startswith(app))

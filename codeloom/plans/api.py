@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions import is_test_file
 from ..operators import closure, edges, lexical, lookup, pagerank, routes, symbols
 from ..session import stable
 
@@ -16,12 +17,17 @@ class UsageError(ValueError):
     """A question that can't be asked so."""
 
 
+#: The last map of each stored root, and the state of its source.
+_HELD: dict[tuple[str, str], tuple[tuple[str, str], CodeMap]] = {}
+
+
 @dataclass
 class CodeMap:
     """Facts, and what follows from them.
 
     files (path, text, feature, rsc), symbols (path, name, kind, ..), edges (src, dst, names, weight), type_edges (src, dst),
-    references (path, name, n), ranks (path, rank), calls (call edges), meta (one row), texts (path, text) to search in.
+    references (path, name, n), ranks (path, rank), calls (call edges), meta (one row), texts (path, text) to search in,
+    skipped (path, error) of files that could not be read, and the lexical index of the exports, made once.
     """
 
     files: DataFrame
@@ -33,28 +39,37 @@ class CodeMap:
     calls: DataFrame | None = None
     meta: DataFrame | None = None
     texts: DataFrame | None = None
+    skipped: DataFrame | None = None
+    index: lexical.LexicalIndex | None = None
 
     @classmethod
-    def build(cls, files: DataFrame, facts, root: str | None = None) -> CodeMap:
+    def build(cls, files: DataFrame, facts, root: str | None = None, source_version: str = "", fingerprint: str = "") -> CodeMap:
         """A map of ``files`` by a provider of facts: ``facts(files)`` gives symbols, edges, type_edges, references, calls and meta.
 
-        With ``root`` the tables are stored there as a new version.
+        With ``root`` the tables are stored there as a new version of that source.
         """
         got = {k: stable(v) for k, v in facts(files).items()}
         nodes = got["files"].select(F.col("path").alias("node"))
         ranks = pagerank.pagerank(got["edges"], nodes).select(F.col("node").alias("path"), F.round("rank", 6).alias("rank"))
-        out = cls(got["files"], got["symbols"], got["edges"], stable(ranks), got["references"], got["type_edges"], got["calls"], got["meta"], got["files"].select("path", "text"))
+        meta = got["meta"].withColumn("source_version", F.lit(source_version))
+        out = cls(got["files"], got["symbols"], got["edges"], stable(ranks), got["references"], got["type_edges"], got["calls"], meta, got["files"].select("path", "text"), got.get("skipped"))
+        out.index = out._index()
         if root:
-            out.save(root)
+            out.save(root, source_version, fingerprint)
         return out
 
     TABLES = ("files", "symbols", "edges", "ranks", "references", "type_edges", "calls")
 
-    def save(self, root: str, source_version: str = "") -> None:
+    def save(self, root: str, source_version: str = "", fingerprint: str = "") -> None:
         from ..sources.store import MapStore
 
         store, row = MapStore(self.files.sparkSession, root), self.meta.first()
-        store.write((store.latest() or 0) + 1, {k: getattr(self, k) for k in self.TABLES}, source_version, "", row["file_count"], row["skipped_count"], row["edge_coverage"], row["degraded"])
+        tables = {k: getattr(self, k) for k in self.TABLES}
+        if self.skipped is not None:
+            tables["skipped"] = self.skipped
+        if self.index is not None:
+            tables |= {"postings": self.index.postings, "lexical_docs": self.index.docs, "lexical_df": self.index.df}
+        store.write((store.latest() or 0) + 1, tables, source_version, fingerprint, row["file_count"], row["skipped_count"], row["edge_coverage"], row["degraded"])
 
     @classmethod
     def load(cls, spark, root: str) -> CodeMap | None:
@@ -65,7 +80,37 @@ class CodeMap:
         if (last := store.latest()) is None:
             return None
         tables = {k: store.read(k, last) for k in cls.TABLES}
-        return cls(**tables, meta=store.versions().where(F.col("version") == last), texts=tables["files"].select("path", "text"))
+        out = cls(**tables, meta=store.versions().where(F.col("version") == last), texts=tables["files"].select("path", "text"), skipped=store.read("skipped", last))
+        if (postings := store.read("postings", last)) is not None:
+            docs = store.read("lexical_docs", last)
+            out.index = lexical.LexicalIndex(postings, docs, store.read("lexical_df", last), lexical.statistics(docs))
+        return out
+
+    @classmethod
+    def of(cls, spark, source: str, root: str, facts=None) -> CodeMap:
+        """The map of a working tree as it is now: the one in memory or the stored one if nothing has changed since, else a new one.
+
+        What counts as unchanged is the commit and every differing file's time and size; without a repository, those of all source files.
+        """
+        from ..sources.provider import source_facts
+        from ..sources.store import MapStore
+        from ..sources.worktree import current_state, read_worktree
+
+        state = current_state(spark, source)
+        key = (spark.sparkContext.applicationId, root)
+        if key in _HELD and _HELD[key][0] == state:
+            return _HELD[key][1]
+        code = cls.load(spark, root) if MapStore(spark, root).fresh(*state) else None
+        if code is None:
+            code = cls.build(read_worktree(spark, source), facts or source_facts, root, *state)
+        _HELD[key] = (state, code)
+        return code
+
+    def _index(self) -> lexical.LexicalIndex:
+        own = self.symbols.where("is_export") if "is_export" in self.symbols.columns else self.symbols
+        own = own.join(self.files.select("path", "feature"), "path", "left") if "feature" in self.files.columns else own
+        key = ["path", "name", "kind"]
+        return lexical.build_index(lexical.symbol_documents(own.dropDuplicates(key)), key)
 
     # names and texts
 
@@ -76,11 +121,10 @@ class CodeMap:
     def search(self, text: str, kind: str | None = None) -> DataFrame:
         """BM25 over symbols, fused with ranks; ``kind`` filters what is shown, and then total counts that."""
         _asked(text)
-        own = self.symbols.where("is_export") if "is_export" in self.symbols.columns else self.symbols
-        own = own.join(self.files.select("path", "feature"), "path", "left") if "feature" in self.files.columns else own
         key = ["path", "name", "kind"]
-        index = lexical.build_index(lexical.symbol_documents(own.dropDuplicates(key)), key)
-        found = lexical.top_matches(lexical.bm25(index, text, key, self.ranks), key)
+        if self.index is None:
+            self.index = self._index()
+        found = lexical.top_matches(lexical.bm25(self.index, text, key, self.ranks), key)
         if kind:
             found = stable(found.where(F.lower("kind").contains(kind.lower())))
             found = found.withColumn("total", F.lit(found.count()).cast("long"))
@@ -134,7 +178,22 @@ class CodeMap:
         return symbols.digest(self.top_symbols(S.RANKED_SYMBOLS, focus), budget)
 
     def relates(self, path: str) -> DataFrame:
-        return pagerank.related(self.edges, self._file(path))
+        """part, path, detail, score: the file itself, its exports, imports, dependents and compile-time twins, then the files nearest to it."""
+        file = self._file(path)
+        text = lambda c: (F.lit(None) if c is None else c).cast("string")
+
+        def part(name: str, rows: DataFrame, path_, detail=None, score=None) -> DataFrame:
+            return rows.select(F.lit(name).alias("part"), text(path_).alias("path"), text(detail).alias("detail"), (F.lit(None) if score is None else score).cast("double").alias("score"))
+
+        own = self.files.where(F.col("path") == file)
+        out = part("file", own.join(self.ranks, "path", "left"), F.col("path"), F.col("rsc") if "rsc" in own.columns else None, F.col("rank"))
+        exports = self.symbols.where(F.col("path") == file)
+        out = out.union(part("export", exports.where("is_export") if "is_export" in exports.columns else exports, F.col("name"), F.col("kind")))
+        for kind, edges_ in (("", self.edges), ("type-only ", self.type_edges)):
+            if edges_ is not None:
+                out = out.union(part(f"{kind}import", edges_.where(F.col("src") == file).select("dst").distinct(), F.col("dst")))
+                out = out.union(part(f"{kind}dependent", edges_.where(F.col("dst") == file).select("src").distinct(), F.col("src")))
+        return out.union(part("related", pagerank.related(self.edges, file), F.col("path"), None, F.col("score")))
 
     # features
 
@@ -152,11 +211,28 @@ class CodeMap:
 
     # closures
 
+    def _suffix(self, path: str) -> DataFrame:
+        _asked(path)
+        hits = stable(lookup.suffix_matches(self.files.select("path"), path))
+        exact = hits.where(F.col("path") == path)
+        if not exact.isEmpty():
+            return exact
+        if (n := hits.count()) != 1:
+            raise UsageError(f"{path} fits several files" if n else f"no file fits {path}")
+        return hits
+
     def affected(self, path: str) -> DataFrame:
-        hits = lookup.suffix_matches(self.files.select("path"), path)
-        if hits.count() > 1:
-            raise UsageError(f"{path} fits several files")
-        return closure.affected(self.edges, hits, self.type_edges)
+        """path, hop, is_test of all that a change of a file may break."""
+        return closure.affected(self.edges, self._suffix(path), self.type_edges)
+
+    def covered(self, path: str) -> DataFrame:
+        """file, dependents, tests, covered: whether a test reaches a file, or it is one itself."""
+        return closure.coverage(self.edges, self._suffix(path), self.type_edges)
+
+    def affected_with_verdict(self, path: str) -> DataFrame:
+        """path, hop, is_test, covered: the file itself at hop 0, with whether a test covers it, and all that its change may break."""
+        own = self.covered(path).select(F.col("file").alias("path"), F.lit(0).alias("hop"), is_test_file(F.col("file")).alias("is_test"), "covered")
+        return own.unionByName(self.affected(path).withColumn("covered", F.lit(None).cast("boolean")))
 
     def _owner(self, name: str, within: str | None) -> str | None:
         got = [r["path"] for r in lookup.owners(self.symbols, name, within).select("path").distinct().limit(2).collect()]
@@ -201,11 +277,15 @@ class CodeMap:
         return (edges.dot if form == "dot" else edges.mermaid)(*drawn)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {k: v for k, v in vars(self).items() if v is not None}
+        return {k: v for k, v in vars(self).items() if isinstance(v, DataFrame)}
 
     def summary(self) -> DataFrame:
         return self.meta
 
+    def skips(self) -> DataFrame:
+        """reason, n of files that could not be read."""
+        return lookup.skips(self.skipped if self.skipped is not None else self.files.select("path", F.lit(None).cast("string").alias("error")))
+
     def doctor(self, current_version: str = "") -> DataFrame:
         return lookup.doctor(self.meta.withColumn("current_version", F.lit(current_version)))
 

@@ -41,9 +41,8 @@ reached as (select path, min(hop)::int as hop from back group by path having min
 
 def _tokens(c: str) -> str:
     """The subtokens of a text, as a list."""
-    cut = rf"regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')"
-    cut = rf"regexp_replace(regexp_replace({cut}, '([a-zA-Z])([0-9])', '\1 \2', 'g'), '([0-9])([a-zA-Z])', '\1 \2', 'g')"
-    return f"list_filter(list_transform(string_split_regex({cut}, '[^a-zA-Z0-9]+'), lambda x: lower(x)), lambda x: x <> '')"
+    apart = rf"regexp_replace({c}, '([A-Z][a-z])', ' \1', 'g')"
+    return f"list_transform(regexp_extract_all({apart}, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: lower(x))"
 
 
 def _pagerank(edges: str, nodes: str = "", seeds: str = "") -> str:
@@ -128,7 +127,7 @@ scored as (select {key}, round(s{rank}, 6) as score from s where s > 0),
 placed as (select *, count(*) over () as total, row_number() over (order by score desc, {key})::int as pos from scored)"""
 
 
-_LEX = "corpus as (select path, name, kind, list_concat(" + _tokens("name") + ", " + _tokens("path") + ", [lower(kind)]) as tokens from exports order by path, name, kind limit 5000)"
+_LEX = "corpus as (select path, name, kind, list_concat(" + _tokens("name") + ", " + _tokens("path") + ", [lower(kind)]) as tokens from exports)"
 _PROSE = "corpus as (select 'doc/' || doc_id as path, " + _tokens("coalesce(text, '')") + " as tokens from documents)"
 _LINES = """lines as (select 'doc/' || doc_id as path, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1))::int as line_no from documents),
 found as (select path, line_no, regexp_replace(line, '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '�', 'g') as line, count(*) over () as total from lines where contains(lower(line), '{q}'))"""
@@ -147,6 +146,36 @@ select top, n, (select coalesce(sum(n), 0)::bigint from g where ok) as supported
 where not ok and round(n::double / (select sum(n) from g), 6) >= {share} order by n desc, top limit 1"""
 
 
+_TREE = """nn as (select n_nationkey as k, n_regionkey as r, (n_regionkey + 1) % 5 as j, 'src/nations/n' || n_nationkey || '.ts' as path from nation),
+rr as (select r_regionkey as k, 'src/regions/r' || r_regionkey || '.ts' as path from region), ss as (select s_suppkey as k, s_nationkey as n, 'src/suppliers/s' || s_suppkey || '.tsx' as path from supplier),
+tt as (select k, 'src/nations/__tests__/n' || k || '.test.ts' as path from nn)"""
+_SITES = _TREE + """, sites as (select path, '../regions/r' || r || '.js' as spec, 'static' as form, false as type_only, 'REGION' || r || ',default' as names, 'src/regions/r' || r || '.ts' as target from nn
+  union all select path, '@/regions/r' || j, 'static', true, 'Shape' || j, 'src/regions/r' || j || '.ts' from nn union all select path, './setup', 'side_effect', false, '*', null from nn
+  union all select path, '../n' || k, 'static', false, 'nation' || k, 'src/nations/n' || k || '.ts' from tt union all select path, '@/nations', 'static', false, 'nation' || n, 'src/nations/index.ts' from ss
+  union all select path, '@acme/nations/n' || n, 'static', false, 'Nation' || n, 'src/nations/n' || n || '.ts' from ss union all select path, '../nations/n' || n, 'dynamic', false, '*', 'src/nations/n' || n || '.ts' from ss
+  union all select 'src/nations/index.ts', './n' || k, 'reexport', false, '', path from nn union all select 'src/Card.vue', './regions/r0', 'static', false, 'REGION0', 'src/regions/r0.ts'
+  union all select 'src/index.ts', './nations', 'reexport', false, 'Nation0', 'src/nations/index.ts' union all select 'src/index.ts', './nations', 'reexport', false, '', 'src/nations/index.ts')"""
+_REACH = _TREE + """, near as (select * from nn where r = 0 or j = 0), reach as (select path, 1 as hop from near union all select 'src/Card.vue', 1 union all select 'src/nations/index.ts', 2 union all select 'src/index.ts', 3
+  union all select path, 2 from tt where k in (select k from near) union all select path, case when n in (select k from near) then 2 else 3 end from ss)"""
+_CALLS = _TREE + """, calls as (select path as caller_file, 8 as caller_line, 'nation' || k as caller_name, 8 as caller_decl_line, 'src/regions/r' || r || '.ts' as callee_file, 'region' || r as callee_name, 3 as callee_line, 'FunctionDeclaration' as callee_kind, 'call' as kind from nn
+  union all select path, 8, 'nation' || k, 8, path, 'helper' || k, 9, 'FunctionDeclaration', 'call' from nn union all select path, 9, 'helper' || k, 9, path, 'Nation' || k, 7, 'ClassDeclaration', 'call' from nn
+  union all select path, 2, '<module>', 2, 'src/nations/n' || k || '.ts', 'nation' || k, 8, 'FunctionDeclaration', 'call' from tt
+  union all select path, 4, 'Supplier' || k, 4, 'src/nations/n' || n || '.ts', 'nation' || n, 8, 'FunctionDeclaration', 'call' from ss union all select path, 4, 'Supplier' || k, 4, path, 'Card' || k, 6, 'VariableDeclaration', 'jsx' from ss)"""
+_PASSED = "select k, path, 'Nation' || k as name, 'ClassDeclaration' as kind from nn union all select k, path, 'nation' || k, 'FunctionDeclaration' from nn"
+
+
+def _callers(file: str, name: str) -> str:
+    """Three hops of callers, at most 500 sites; a site's parent is what it calls, by its own line from the second hop on."""
+    return f"""h1 as materialized (select distinct caller_file as f, caller_name as n, caller_line as l, null::varchar as via from steps where callee_file = '{file}' and callee_name = '{name}'),
+      s1 as materialized (select distinct f, n from h1 where not (f = '{file}' and n = '{name}')),
+      h2 as materialized (select distinct caller_file as f, caller_name as n, caller_line as l, callee_file || ':' || callee_name || ':' || callee_line as via from steps join s1 on callee_file = f and callee_name = n where (caller_file, caller_line) not in (select (f, l) from h1)),
+      s2 as materialized (select distinct f, n from h2 where (f, n) not in (select (f, n) from s1) and not (f = '{file}' and n = '{name}')),
+      h3 as materialized (select distinct caller_file as f, caller_name as n, caller_line as l, callee_file || ':' || callee_name || ':' || callee_line as via from steps join s2 on callee_file = f and callee_name = n where (caller_file, caller_line) not in (select (f, l) from h1) and (caller_file, caller_line) not in (select (f, l) from h2)),
+      every as (select *, 1 as depth from h1 union all select *, 2 from (select * from h2 where (select count(*) from h1) < 500) union all select *, 3 from (select * from h3 where (select count(*) from h1) + (select count(*) from h2) < 500)),
+      placed as (select *, row_number() over (order by depth, coalesce(rank, 0) desc, f, l, n) as r, count(*) over () as total from every left join step_ranks on path = f)
+      select f as file, n as name, l as line, depth, via, total >= 500 as truncated from placed where r <= 500"""
+
+
 def _router_symbol(q: str) -> str:
     return _find(q).replace("select path, name, kind, pos, total, total > 50 as truncated", "select 'symbol' as answer, path, name, kind as detail, pos, total")
 
@@ -167,7 +196,7 @@ ORACLE_SQL: dict[str, str] = {
     "ident_multiplier": f"with {_EXPORTS}, m as (select name from exports where path = 'Brand#1/ECONOMY') select * from {_multiplier('m')}",
     "symbol_rank": _symbol_rank(80),
     "symbol_rank_focus": _symbol_rank(30, ("Brand#1/ECONOMY", "nation/NATION_3")),
-    "symbol_tail": f"with {_EXPORTS}, {_REFS} select path, name, min(kind) as kind from exports e where name not in (select name from refs where n >= 6) group by path, name",
+    "symbol_tail": f"with {_EXPORTS}, {_REFS} select path, name, min(kind) as kind from exports e where name not in (select name from refs) group by path, name",
     "token_digest": _symbol_rank(80, top="X").replace("\nX", _DIGEST),
     "find_symbol": _find("widget"),
     "find_symbol_kind": _find("_bolt_", "econ"),
@@ -180,8 +209,8 @@ ORACLE_SQL: dict[str, str] = {
     "suffix_match": f"with {_PAGES} select distinct path from files where path = 'page.tsx' or path like '%/page.tsx'",
     "tokenize_identifiers": f"select p_partkey, array_to_string({_tokens("p_name || 'X' || p_brand || 'X' || p_type")}, ' ') as tokens from part",
     "tokenize_urls": f"select page_id, array_to_string({_tokens('url')}, ' ') as tokens from pages",
-    "lexical_df": f"with {_PROSE} select token, count(*) as n from (select path, unnest(list_distinct(tokens)) as token from corpus) group by token having count(*) >= 20",
-    "lexical_symbol_documents": f"with {_EXPORTS}, {_LEX.replace(' order by path, name, kind limit 5000', '')} select path, name, kind, array_to_string(tokens, ' ') as tokens from corpus",
+    "lexical_df": f"with {_PROSE} select token, count(*) as n from (select path, unnest(list_distinct(tokens)) as token from corpus) group by token",
+    "lexical_symbol_documents": f"with {_EXPORTS}, {_LEX} select path, name, kind, array_to_string(tokens, ' ') as tokens from corpus",
     "bm25_documents": f"with {_PROSE}, {_bm25([BM25_QUERY], 'path')} select * from placed where pos <= 50",
     "bm25_parts": f"with {_EXPORTS}, {_LEX}, {_bm25([FUSED_QUERY], 'path, name, kind')} select * from placed where pos <= 50",
     "bm25_rank_fusion": f"with {_EXPORTS}, {_RANKS}, {_LEX}, {_bm25([FUSED_QUERY], 'path, name, kind', True)} select * from placed where pos <= 50",
@@ -204,13 +233,7 @@ ORACLE_SQL: dict[str, str] = {
       select caller_file, caller_line, caller_name, caller_decl_line, count(*) over () as total from c left join step_ranks on path = caller_file order by coalesce(rank, 0) desc, caller_file, caller_line limit 50""",
     "calls_depth1": f"""with {_STEPS}, c as (select callee_file, callee_name, callee_line, min(callee_kind) as callee_kind from steps where caller_file = 'user/8' and caller_name = 'error' and not (callee_file = 'user/8' and callee_name = 'error') group by all)
       select callee_file, callee_name, callee_line, callee_kind, count(*) over () as total from c left join step_ranks on path = callee_file order by coalesce(rank, 0) desc, callee_file, callee_name limit 50""",
-    "callers_closure": f"""with {_STEPS}, e as materialized (select * from steps where caller_name <> 'view'),
-      h1 as materialized (select distinct caller_file as f, caller_name as n, caller_line as l from e where callee_file = 'user/8' and callee_name = 'signup'),
-      s1 as materialized (select distinct f, n from h1 where not (f = 'user/8' and n = 'signup')),
-      h2 as materialized (select distinct caller_file as f, caller_name as n, caller_line as l from e join s1 on callee_file = f and callee_name = n where (caller_file, caller_line) not in (select (f, l) from h1)),
-      s2 as materialized (select distinct f, n from h2 where (f, n) not in (select (f, n) from s1) and not (f = 'user/8' and n = 'signup')),
-      h3 as materialized (select distinct caller_file as f, caller_name as n, caller_line as l from e join s2 on callee_file = f and callee_name = n where (caller_file, caller_line) not in (select (f, l) from h1) and (caller_file, caller_line) not in (select (f, l) from h2))
-      select f as file, n as name, l as line, 1 as depth from h1 union all select f, n, l, 2 from h2 union all select f, n, l, 3 from h3""",
+    "callers_closure": f"""with {_STEPS}, {_callers("user/8", "signup")}""",
     "calls_closure": f"""with recursive {_STEPS}, e as materialized (select distinct caller_file, caller_name, callee_file, callee_name, callee_line from steps),
       r(f, n, l, d) as (select 'user/8', 'signup', 0, 0 union select callee_file, callee_name, callee_line, d + 1 from r join e on caller_file = f and caller_name = n where d < 4)
       select f as file, n as name, l::int as line, min(d)::int as depth from r where not (f = 'user/8' and n = 'signup') group by f, n, l""",
@@ -228,7 +251,7 @@ ORACLE_SQL: dict[str, str] = {
     "export_mermaid": f"""with recursive {_DRAWN}, ids as (select *, row_number() over (order by rank desc, path) - 1 as i from dn), l as (select 0 as part, 0 as x, 0 as y, 'flowchart LR' as line union all select 1, i, 0, '  n' || i || '["' || path || '"]:::' || tier from ids
       union all select 2, a.i, b.i, '  n' || a.i || ' --> n' || b.i from ends join ids a on a.path = src join ids b on b.path = dst) select row_number() over (order by part, x, y)::int as line_no, line from l""",
     "snapshot_diff": f"with {_SNAP} select coalesce(old.path, new.path) as path, case when old.path is null then 'added' when new.path is null then 'removed' else 'modified' end as change from old full join new on old.path = new.path where old.path is null or new.path is null or old.token <> new.token",
-    "fingerprint": f"""with {_SNAP}, h as (select o_orderpriority, sha1(path || ':' || coalesce(token, '')) as h from old), p as (select o_orderpriority, substr(h, 1, 3) as p, sha1(string_agg(h, chr(10) order by h)) as h from h group by all)
+    "fingerprint": f"""with {_SNAP}, h as (select o_orderpriority, sha1(path || ':' || coalesce(token, '')) as h from o), p as (select o_orderpriority, substr(h, 1, 3) as p, sha1(string_agg(h, chr(10) order by h)) as h from h group by all)
       select o_orderpriority, sha1(string_agg(h, chr(10) order by p)) as fingerprint from p group by all""",
     "path_functions": rf"""with {_ROUTE_FILES}, s as (select path, string_split(path, '/') as p from route_files), g as (select *, list_filter(p[2:len(p) - 1], lambda x: not regexp_matches(x, '^[(\[@]')) as f from s)
       select path, p[-1] as base, regexp_replace(p[-1], '\.[^.]+$', '') as stem, lower(string_split(path, '.')[-1]) as ext, coalesce(f[1], '') as feature, len(p)::int - 1 as depth, ceil(length(path) / 4.0)::bigint as tokens, '/' || path as url,
@@ -240,5 +263,34 @@ ORACLE_SQL: dict[str, str] = {
     "any_router_symbol": _router_symbol("red widg"),
     "any_router_lexical": f"with {_EXPORTS}, page_ranks as (select 1), {_RANKS}, {_LEX}, {_bm25(['widget economy'], 'path, name, kind', True)} select 'lexical' as answer, path, name, score::varchar as detail, pos, total from placed where pos <= 50",
     "any_router_content": f"with {_LINES.replace('{q}', 'of the')} select 'content' as answer, path, line_no::varchar as name, line as detail, 1 as pos, total from found order by path, found.line_no limit 40",
-    "incremental_equals_full": "with f as (select strftime(ts, '%Y-%m-%d') || '/' || user_id as path, event_type as name, count(*) as n from events group by all) select name, count(distinct path) as files, sum(n)::bigint as n from f group by name",
+    "incremental_equals_full": "with f as (select strftime(ts, '%Y-%m-%d') || '/' || user_id as path, event_type as name, count(*) as n from events where user_id % 5 <> 0 and (user_id % 5 <> 1 or event_type = 'view') group by all) select name, count(distinct path) as files, sum(n)::bigint as n from f group by name",
+    "source_listing": f"with {_TREE}, p as (select path from nn union all select path from rr union all select path from ss union all select path from tt union all select unnest(['src/nations/index.ts', 'src/index.ts', 'src/Card.vue', 'types/globals.d.ts'])) select path, path <> 'types/globals.d.ts' as is_node from p",
+    "source_symbols": f"""with {_TREE}, passed as ({_PASSED}) select path, 'REGION' || k as name, 'VariableDeclaration' as kind, true as is_export, null::varchar as defined_in, false as is_default from rr
+      union all select path, 'Shape' || k, 'InterfaceDeclaration', true, null, false from rr union all select path, 'region' || k, 'FunctionDeclaration', true, null, true from rr
+      union all select path, name, kind, true, null, false from passed union all select path, 'local' || k, 'VariableDeclaration', false, null, false from nn union all select path, 'helper' || k, 'FunctionDeclaration', false, null, false from nn
+      union all select path, unnest(['Supplier' || k, 'Alias' || k]), 'VariableDeclaration', true, null, false from ss union all select path, unnest(['lazy', 'Card' || k]), 'VariableDeclaration', false, null, false from ss
+      union all select unnest(['src/nations/index.ts', 'src/index.ts']), name, kind, true, path, false from passed union all select 'src/index.ts', 'First', 'ClassDeclaration', true, 'src/nations/n0.ts', false
+      union all select 'src/Card.vue', 'shown', 'VariableDeclaration', false, null, false""",
+    "source_imports": f"with {_SITES} select * from sites",
+    "source_edges": f"""with {_SITES}, e as (select path as src, target as dst, unnest(string_split(names, ',')) as name, target from sites where not type_only and target is not null),
+      d as (select distinct src, dst, case when name = 'default' then 'region' || regexp_extract(dst, '([0-9]+)', 1) else name end as name from e)
+      select src, dst, coalesce(string_agg(name, ',' order by name) filter (name <> ''), '') as names, greatest(count(*) filter (name <> ''), 1)::double as weight from d group by src, dst""",
+    "source_type_edges": f"with {_SITES} select distinct path as src, target as dst from sites where type_only",
+    "source_directives": f"with {_TREE} select path, 'client' as rsc from nn where k % 2 = 1",
+    "source_calls": f"with {_CALLS} select * from calls",
+    "source_callers": f"""with {_TREE}, zero as (select * from nn where r = 0) select path as file, 'nation' || k as name, 8 as line, 1 as depth, null::varchar as via, false as truncated from zero
+      union all select t.path, '<module>', 2, 2, z.path || ':nation' || z.k || ':8', false from tt t join zero z on z.k = t.k union all select s.path, 'Supplier' || s.k, 4, 2, z.path || ':nation' || z.k || ':8', false from ss s join zero z on z.k = s.n""",
+    "source_health": f"""with {_SITES}, l as (select target from sites where form in ('static', 'side_effect') and not type_only and (spec like '.%' or spec like '@/%')), c as (select round(count(target) / count(*), 4) as edge_coverage from l),
+      f as (select (select count(*) from nn) * 2 + (select count(*) from rr) + (select count(*) from ss) + 3 as n) select n::bigint as file_count, 0::bigint as skipped_count, edge_coverage, edge_coverage < 0.15 as degraded from c, f""",
+    "source_affected": f"with {_REACH} select path, hop, path like '%/__tests__/%' as is_test from reach",
+    "source_covered": f"with {_REACH} select 'src/regions/r0.ts' as file, count(*) as dependents, count(*) filter (path like '%/__tests__/%') as tests, count(*) filter (path like '%/__tests__/%') > 0 as covered from reach",
+    "source_owner": "select 'src/nations/n3.ts' as path, 'FunctionDeclaration' as kind, unnest([false, true]) as local",
+    "source_stored": f"""with {_SITES}, {_CALLS.replace(_TREE + ", ", "")}, f as (select (select count(*) from nn) * 2 + (select count(*) from rr) + (select count(*) from ss) + 3 as n)
+      select unnest(['files', 'ranks']) as name, n::bigint as n from f union all select 'edges', count(distinct (path, target)) from sites where not type_only and target is not null union all select 'type_edges', count(distinct (path, target)) from sites where type_only
+      union all select 'calls', count(*) from calls union all select 'meta', 1""",
+    "source_path_rules": """with f as (select 'n' || n_nationkey as top from nation) select top || '/k' as folder, unnest(['./a/../b', '../x/./y', '@/q', 'react', '#z']) as spec,
+      unnest([top || '/k/b', top || '/x/y', top || '/k/@/q', top || '/k/react', top || '/k/#z']) as path, unnest([true, true, true, false, true]) as local from f""",
+    "eval_hit_rate": f"""with {_STEPS}, c as (select callee_name as query, caller_file || '/' || caller_name as path, count(*) as n from steps group by all), r as (select *, row_number() over (partition by query order by n desc, path) as pos from c),
+      b as (select query, min(pos) filter (path not like '%/view') as pos from r where pos % 3 = 1 group by query) select count(*) as queries, round(avg(case when pos <= 1 then 1.0 else 0.0 end), 6) as top1, round(avg(case when pos <= 3 then 1.0 else 0.0 end), 6) as top3 from b""",
+    "eval_token_ratio": "with t as (select ceil(length(text) / 4.0) as b, ceil(length(string_split(text, chr(10))[1]) / 4.0) as a from documents where text is not null) select count(*) as cases, round(median(b / a), 6) as median_ratio from t where a > 0",
 }

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import ancestors, basename, extension, feature_of, normalize_url, route_segment, stem, subtokens, tier, token_estimate
 from ..operators import closure, edges, lexical, lookup, pagerank, routes, symbols
+from ..session import prepared
 from ..sources import sfc
+from ..sources.configs import read_rules
+from ..sources.files import sources
+from ..sources.provider import raw_facts
+from ..sources.resolve import collapsed, expected_local, resolve
 from ..sources.tables import Tables
 from ..streaming import refresh
 
@@ -145,23 +152,23 @@ def tokenize_urls(t: Tables) -> DataFrame:
     return t.read("pages").select("page_id", F.array_join(subtokens(F.col("url")), " ").alias("tokens"))
 
 
-def _prose(t: Tables) -> lexical.LexicalIndex:
-    return lexical.build_index(t.documents().select("path", subtokens(F.coalesce("text", F.lit(""))).alias("tokens")), ["path"])
+def _prose(t: Tables) -> DataFrame:
+    return t.documents().select("path", subtokens(F.coalesce("text", F.lit(""))).alias("tokens"))
 
 
 @query
 def lexical_df(t: Tables) -> DataFrame:
-    return _prose(t).df
+    return lexical.document_frequencies(_prose(t))
 
 
 @query
 def lexical_symbol_documents(t: Tables) -> DataFrame:
-    return lexical.symbol_documents(t.exports(), None).select("path", "name", "kind", F.array_join("tokens", " ").alias("tokens"))
+    return lexical.symbol_documents(t.exports()).select("path", "name", "kind", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query
 def bm25_documents(t: Tables) -> DataFrame:
-    return lexical.top_matches(lexical.bm25(_prose(t), BM25_QUERY, ["path"]), ["path"])
+    return lexical.top_matches(lexical.bm25_scan(_prose(t), BM25_QUERY, ["path"]), ["path"])
 
 
 def _symbol_index(t: Tables) -> lexical.LexicalIndex:
@@ -271,7 +278,9 @@ def calls_depth1(t: Tables) -> DataFrame:
 
 @query
 def callers_closure(t: Tables) -> DataFrame:
-    return closure.call_closure(t.steps(), "user/8", "signup", 3, node_cap=1 << 30, frontier_cap=1 << 30).drop("via", "truncated")
+    calls = t.steps()
+    ranks = calls.groupBy(F.col("caller_file").alias("path")).agg(F.count("*").cast("double").alias("rank"))
+    return closure.call_closure(calls, "user/8", "signup", 3, ranks)
 
 
 @query
@@ -380,3 +389,108 @@ def any_router_content(t: Tables) -> DataFrame:
 @query
 def incremental_equals_full(t: Tables) -> DataFrame:
     return refresh.incremental_equals_full(t)
+
+
+@query
+def source_listing(t: Tables) -> DataFrame:
+    return sources(t.source_tree(), ["dist/"]).select("path", "is_node")
+
+
+@query
+def source_symbols(t: Tables) -> DataFrame:
+    return t.source_facts()["symbols"].select("path", "name", "kind", "is_export", "defined_in", "is_default")
+
+
+@query
+def source_imports(t: Tables) -> DataFrame:
+    files = t.source_tree()
+    known = sources(files, ["dist/"])
+    sites = raw_facts(known).select("path", F.explode("imports").alias("s")).select("path", "s.*")
+    found = resolve(sites, known.select("path"), read_rules(t.spark, files))
+    return found.select("path", "spec", "form", "type_only", F.array_join(F.sort_array("names"), ",").alias("names"), "target")
+
+
+@query
+def source_edges(t: Tables) -> DataFrame:
+    return t.source_facts()["edges"].select("src", "dst", F.array_join("names", ",").alias("names"), "weight")
+
+
+@query
+def source_type_edges(t: Tables) -> DataFrame:
+    return t.source_facts()["type_edges"]
+
+
+@query
+def source_directives(t: Tables) -> DataFrame:
+    return t.source_facts()["files"].where("rsc is not null").select("path", "rsc")
+
+
+@query
+def source_calls(t: Tables) -> DataFrame:
+    return t.source_facts()["calls"]
+
+
+@query
+def source_callers(t: Tables) -> DataFrame:
+    return closure.call_closure(t.source_facts()["calls"], "src/regions/r0.ts", "region0", 3)
+
+
+@query
+def source_health(t: Tables) -> DataFrame:
+    return t.source_facts()["meta"].select("file_count", "skipped_count", "edge_coverage", "degraded")
+
+
+@query
+def source_affected(t: Tables) -> DataFrame:
+    facts = t.source_facts()
+    rows = closure.affected(facts["edges"], t.spark.createDataFrame([("src/regions/r0.ts",)], "path string"), facts["type_edges"])
+    return rows.select("path", "hop", "is_test")
+
+
+@query
+def source_covered(t: Tables) -> DataFrame:
+    facts = t.source_facts()
+    return closure.coverage(facts["edges"], t.spark.createDataFrame([("src/regions/r0.ts",)], "path string"), facts["type_edges"])
+
+
+@query
+def source_owner(t: Tables) -> DataFrame:
+    """Who declares a name that two barrels pass on, and a local one."""
+    symbols_ = t.source_facts()["symbols"]
+    return lookup.owners(symbols_, "nation3").union(lookup.owners(symbols_, "helper3"))
+
+
+@query
+def source_stored(t: Tables) -> DataFrame:
+    """Rows of each table of a map that is built, stored and loaded again."""
+    from .api import CodeMap
+
+    root = f"{prepared(t.spark).sparkContext.getCheckpointDir()}/map-{uuid.uuid4().hex[:12]}"
+    CodeMap.build(t.source_tree(), lambda _: t.source_facts(), root, "v1")
+    tables = CodeMap.load(t.spark, root).tables()
+    count = lambda name: tables[name].select(F.lit(name).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return reduce(DataFrame.unionAll, [count(x) for x in ("files", "edges", "type_edges", "calls", "ranks", "meta")])
+
+
+@query
+def source_path_rules(t: Tables) -> DataFrame:
+    """Paths collapsed by . and .. segments, and whether a name should mean a file here."""
+    spec = F.explode(F.array(F.lit("./a/../b"), F.lit("../x/./y"), F.lit("@/q"), F.lit("react"), F.lit("#z")))
+    rows = t.read("nation").select(F.format_string("n%d/k", "n_nationkey").alias("folder"), spec.alias("spec"))
+    return rows.select("folder", "spec", collapsed(F.concat_ws("/", "folder", "spec")).alias("path"), expected_local(F.col("spec")).alias("local"))
+
+
+@query
+def eval_hit_rate(t: Tables) -> DataFrame:
+    """How often the true caller is among the first one and three, when a type's callers are ranked by how often they call it."""
+    calls = t.steps().groupBy(F.col("callee_name").alias("query"), F.concat("caller_file", F.lit("/"), "caller_name").alias("path")).agg(F.count("*").alias("n"))
+    ranked = calls.withColumn("pos", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n"), "path")))
+    return edges.hit_rates(ranked.where("path not like '%/view'"), ranked.where("pos % 3 = 1"))
+
+
+@query
+def eval_token_ratio(t: Tables) -> DataFrame:
+    """The median of how many times more tokens a whole text has than its first line."""
+    first = F.substring_index("text", "\n", 1)
+    rows = t.documents().where("text is not null").select(token_estimate(F.col("text")).alias("baseline"), token_estimate(first).alias("answer"))
+    return edges.token_ratio(rows)

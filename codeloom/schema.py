@@ -13,7 +13,6 @@ HUBS, RANKED_SYMBOLS, DEFAULT_SYMBOLS = 15, 80, 30
 CONTENT_LINES, SYMBOL_MATCHES = 40, 50
 MAX_DEPTH, FRONTIER, MAX_NODES = 5, 200, 500
 BM25_K1, BM25_B, RANK_WEIGHT = 1.2, 0.75, 0.5
-LEXICAL_DOCS = 5000
 STOPWORDS = ("the", "a", "an", "that", "which", "is", "of", "for", "to", "where", "in", "and", "or")
 RELATED, SYMBOLS_PER_FILE, EXPORT_NODES, SKIP_LIST = 10, 8, 60, 100
 CENSUS_SHARE = 0.3
@@ -24,6 +23,13 @@ SFC_EXTENSION = "vue"
 SCHEMA_VERSION = 8
 TEST_FILE = r"(^|/)(__tests__|__mocks__|tests?)/|\.(test|spec)\.[cm]?[jt]sx?$"
 CONTROL_CHARACTERS = r"[\x00-\x08\x0B-\x1F\x7F]"
+EXCLUDED_FOLDERS = ("node_modules", ".next", ".git")
+LONGEST_PATTERN, DEEPEST_FOLDER = 512, 40
+#: Languages by file extension that the census counts besides the supported ones.
+FOREIGN = {"py": "Python", "pyi": "Python", "go": "Go", "rs": "Rust", "java": "Java", "kt": "Kotlin", "rb": "Ruby", "php": "PHP", "cs": "C#", "swift": "Swift", "scala": "Scala", "ex": "Elixir", "exs": "Elixir", "dart": "Dart", "c": "C", "h": "C", "cc": "C++", "cpp": "C++", "hpp": "C++", "lua": "Lua"}
+#: Names of files that a content search never opens, and parts that hide a file wherever its path holds them, in either case.
+SENSITIVE_FILES = (".env", ".env.*", "*.env", "*.pem", "*.key", "*.p12", "*.pfx", "*.crt", "id_rsa*", "*.p8", "*.jks", "*.keystore", "id_ed25519*", "id_ecdsa*", ".npmrc", ".netrc", ".git-credentials", ".pgpass", ".htpasswd", ".pypirc")
+SENSITIVE_PARTS = ("secret", "credential", "password")
 HTTP_METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
 
 

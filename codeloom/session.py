@@ -28,3 +28,13 @@ def stable(df: DataFrame) -> DataFrame:
     """``df`` computed now and written to the shared checkpoint folder, so that loops neither grow plans nor lose work."""
     prepared(df.sparkSession)
     return df.checkpoint()
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what ``stable`` wrote for ``tables``, which nothing may read any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

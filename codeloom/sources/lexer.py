@@ -7,7 +7,9 @@ compiler: names are bound by imports and top-level declarations, and a name that
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 _TOKEN = re.compile(
     r"""(?P<space>\s+|//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/|$)|^\#![^\n]*)
@@ -84,6 +86,8 @@ class Facts:
     rsc: str | None = None
 
 
+#: Words that begin a new statement where they begin a line.
+_STATEMENTS = frozenset("import export const let var function class interface type enum async abstract declare namespace".split())
 _DECLARED = {"function": "FunctionDeclaration", "class": "ClassDeclaration", "interface": "InterfaceDeclaration", "type": "TypeAliasDeclaration", "enum": "EnumDeclaration", "namespace": "ModuleDeclaration"}
 
 
@@ -91,6 +95,8 @@ class Reader:
     def __init__(self, text: str):
         self.t, self.i, self.facts = tokens(text), 0, Facts()
         self.close = self._pairs()
+        self.generic = self._generics()
+        self._ahead()
 
     def _pairs(self) -> dict[int, int]:
         pairs, stack = {}, []
@@ -106,6 +112,38 @@ class Reader:
                         break
         return pairs
 
+    def _generics(self) -> dict[int, int]:
+        """Where type arguments like <A, B<C>> that begin at a token end, found in one pass; they stand on one line."""
+        out, stack, line = {}, [], 0
+        for k, x in enumerate(self.t):
+            if x.line != line:
+                stack, line = [], x.line
+            if x.kind == "mark" and x.text == "<":
+                stack.append(k)
+            elif x.kind == "mark" and x.text == ">" and stack:
+                out[stack.pop()] = k
+            elif x.kind == "mark" and x.text in (";", "{", "(", "=>"):
+                stack = []
+        return out
+
+    def _ahead(self) -> None:
+        """For each token, the next one that ends something: found backwards, so that no search runs through the same tokens twice."""
+        n = len(self.t)
+        self.body, self.typed, self.arrow, self.stop = ([n] * (n + 2) for _ in range(4))
+        for i in range(n - 1, -1, -1):
+            word = self.text(i)
+            after = min(self.close.get(i, i) + 1, n)
+            self.body[i] = i if word in ("{", ";") else self.body[after if word == "(" else i + 1]
+            self.typed[i] = i if word in ("{", ";", ")", ",") else self.typed[i + 1]
+            self.arrow[i] = i if word in ("=>", ";", "{") else self.arrow[i + 1]
+            x = self.t[i]
+            if x.kind == "mark" and x.text == ";":
+                self.stop[i] = i + 1
+            elif i and x.kind == "name" and x.line > self.t[i - 1].line and x.text in _STATEMENTS:
+                self.stop[i] = i
+            else:
+                self.stop[i] = self.stop[after if i in self.close else i + 1]
+
     def text(self, i: int) -> str:
         return self.t[i].text if 0 <= i < len(self.t) and self.t[i].kind != "string" else ""
 
@@ -262,15 +300,11 @@ class Reader:
 
     def _end(self, i: int) -> int:
         """After the statement that goes on here: at a semicolon, or where a line begins a new one."""
-        start = i
-        while i < len(self.t):
-            x = self.t[i]
-            if x.text == ";" and x.kind == "mark":
-                return i + 1
-            if i > start and x.kind == "name" and x.line > self.t[i - 1].line and x.text in ("import", "export", "const", "let", "var", "function", "class", "interface", "type", "enum", "async", "abstract", "declare", "namespace"):
-                return i
-            i = self.close[i] + 1 if i in self.close else i + 1
-        return i
+        if i >= len(self.t):
+            return i
+        if self.t[i].kind == "mark" and self.t[i].text == ";":
+            return i + 1
+        return self.stop[min(self.close.get(i, i) + 1, len(self.t))]
 
     def _variables(self, i: int) -> tuple[list[tuple[str, str, int]], int]:
         names, end = [], self._end(i)
@@ -287,23 +321,11 @@ class Reader:
                 expect = False
             if self.text(i) == "," and self.t[i].kind == "mark":
                 expect = True
-            if self.text(i) == "<" and (close := self._generic(i)):
+            if self.text(i) == "<" and (close := self.generic.get(i)):
                 i = close
             i = self.close[i] + 1 if i in self.close else i + 1
         return names, end
 
-    def _generic(self, i: int) -> int | None:
-        """The end of type arguments like <A, B<C>>, if this is such a list on one line."""
-        depth, k = 0, i
-        while k < len(self.t) and self.t[k].line == self.t[i].line:
-            depth += {"<": 1, ">": -1}.get(self.text(k), 0)
-            if not depth:
-                return k
-            if self.text(k) in (";", "{", "(", "=>"):
-                return None
-            k += 1
-        return None
-
     def _symbols(self, declared: dict, exported: list) -> None:
         seen = set()
         for name, local, default, line in exported:
@@ -330,9 +352,7 @@ class Reader:
             if x.text in ("function", "class"):
                 k = i + 1 + (self.text(i + 1) == "*")
                 if self.is_name(k) and self.text(k) not in ("extends", "implements"):
-                    body = k
-                    while body < len(self.t) and self.text(body) not in ("{", ";"):
-                        body = self.close.get(body, body) + 1 if self.text(body) == "(" else body + 1
+                    body = self.body[k]
                     if self.text(body) == "{":
                         out.append((k + 1, self.close.get(body, len(self.t)), self.text(k), x.line))
             elif self.text(i + 1) in ("=", ":") and self.text(i - 1) not in (".", "?.") and (end := self._function_value(i + 2)):
@@ -340,8 +360,7 @@ class Reader:
             elif self.text(i + 1) == "(" and x.text not in KEYWORDS and self.text(i - 1) not in (".", "?.", "new", "function", "=", "=>", "(", ",", "return"):
                 body = self.close.get(i + 1, len(self.t)) + 1
                 if self.text(body) == ":":
-                    while body < len(self.t) and self.text(body) not in ("{", ";", ")", ","):
-                        body += 1
+                    body = self.typed[body]
                 if self.text(body) == "{" and (self.text(i - 1) in ("{", "}", ";", "async", "static", "get", "set", "public", "private", "protected", "readonly", "override", "*", ",") or self.t[i - 1].line < x.line):
                     out.append((i + 1, self.close.get(body, len(self.t)), "" if x.text == "constructor" else x.text, x.line))
         return out
@@ -350,24 +369,35 @@ class Reader:
         """Where the function value that begins here ends; None if it is none."""
         i += self.text(i) == "async"
         if self.text(i) == "function":
-            while i < len(self.t) and self.text(i) not in ("{", ";"):
-                i = self.close.get(i, i) + 1 if self.text(i) == "(" else i + 1
-            return self.close.get(i)
+            return self.close.get(self.body[min(i, len(self.t))])
         k = self.close.get(i, i) + 1 if self.text(i) == "(" else i + 1 if self.is_name(i) else None
         if k is None:
             return None
         if self.text(k) == ":" and self.text(i) == "(":
-            while k < len(self.t) and self.text(k) not in ("=>", ";", "{"):
-                k += 1
+            k = self.arrow[k]
         if self.text(k) != "=>":
             return None
         return self.close.get(k + 1) if self.text(k + 1) == "{" else self._end(k + 1)
 
     def _calls(self, declared: dict) -> None:
+        """Calls, each with the smallest named body that it is in. Bodies open and end as the tokens pass by."""
         owners = self._owners()
-        heads = {b - 1 for b, *_ in owners}
-        inner = self._inner_bindings(owners)
+        heads, methods = {b - 1 for b, *_ in owners}, {b for b, *_ in owners if self.text(b) == "("}
+        begin: dict[int, list[int]] = {}
+        for k, (b, *_) in enumerate(owners):
+            begin.setdefault(b, []).append(k)
+        inner = [names for *_, names in self._inner_bindings(owners)]
+        bound: Counter = Counter()
+        open_, ends = [], []
         for i, x in enumerate(self.t):
+            for k in begin.get(i, ()):
+                open_.append(k)
+                heappush(ends, (owners[k][1], k))
+                bound.update(inner[k])
+            while ends and ends[0][0] < i:
+                _, k = heappop(ends)
+                open_.remove(k)
+                bound.subtract(inner[k])
             if x.kind != "name" or x.text in KEYWORDS:
                 continue
             if self.text(i - 1) == "<" and self._is_tag(i):
@@ -377,27 +407,21 @@ class Reader:
                 continue  # read with its first name
             else:
                 base, name, k = self._dotted(i)
-                open_ = k + 1
-                if self.text(open_) == "<" and (close := self._generic(open_)):
-                    open_ = close + 1
+                after = k + 1
+                if self.text(after) == "<" and (close := self.generic.get(after)):
+                    after = close + 1
                 new = self.text(i - 1) == "new"
-                if self.text(open_) == "?." and self.text(open_ + 1) == "(":
-                    open_ += 1
-                if not new and self.text(open_) != "(" or i in heads or self.text(i - 1) in ("function", "class", "interface", "type", "enum", "@"):
-                    continue
-                if self._is_method_head(i, owners):
+                if self.text(after) == "?." and self.text(after + 1) == "(":
+                    after += 1
+                if not new and self.text(after) != "(" or i in heads or self.text(i - 1) in ("function", "class", "interface", "type", "enum", "@") or i + 1 in methods:
                     continue
                 kind = "call"
-            first = base or name
-            if any(b <= i <= e and first in names for b, e, names in inner):
+            if bound[base or name] > 0:
                 continue
-            own = [(e - b, n, line) for b, e, n, line in owners if b <= i <= e and n]
+            own = [(owners[j][1] - owners[j][0], *owners[j][2:]) for j in open_ if owners[j][2]]
             owner, line = min(own)[1:] if own else ("<module>", self.t[k].line)
             self.facts.calls.append({"base": base, "name": name, "kind": kind, "line": self.t[k].line, "owner": owner, "owner_line": line})
 
-    def _is_method_head(self, i: int, owners: list) -> bool:
-        return any(b == i + 1 and self.text(i + 1) == "(" for b, *_ in owners)
-
     def _is_tag(self, i: int) -> bool:
         before = self.t[i - 2] if i >= 2 else None
         return before is None or before.kind == "mark" and before.text not in (")", "]") or before.text in ("return", "default", "else") or before.line < self.t[i].line or self.t[i].text[0].isupper() and before.kind != "name"

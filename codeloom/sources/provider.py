@@ -53,14 +53,14 @@ def raw_facts(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInArrow(run, schema)
 
 
-def source_facts(files: DataFrame, ignore: list[str] = (), declarations: bool = False) -> dict[str, DataFrame]:
-    """The tables that a map is built of, from ``files`` (path, text).
+def source_facts(files: DataFrame, ignore: list[str] = (), declarations: bool = False, raw: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables that a map is built of, from ``files`` (path, text). ``raw``: what ``raw_facts`` said of them before, kept by file.
 
     Declaration files can be meant by imports but are no part of the map unless ``declarations``.
     """
     spark = prepared(files.sparkSession)
     known = sources(files, ignore)
-    raw = stable(raw_facts(known))
+    raw = stable(raw_facts(known) if raw is None else raw.join(known.select("path"), "path", "left_semi"))
     listed = stable(known.join(raw.where("error is null or error <> 'no-script'").select("path", "rsc", "error"), "path").select("path", "text", "rsc", "error", "is_node", feature_of(F.col("path")).alias("feature")))
     nodes = listed.where("error is null").where(F.lit(declarations) | F.col("is_node")).select("path")
 
@@ -107,7 +107,7 @@ def source_facts(files: DataFrame, ignore: list[str] = (), declarations: bool =
     meta = health.select(F.lit(S.SCHEMA_VERSION).alias("schema"), F.lit("").alias("source_version"), F.lit(nodes.count()).cast("long").alias("file_count"), F.lit(skipped).cast("long").alias("skipped_count"), "edge_coverage", "degraded")
     return {
         "files": listed.join(nodes, "path", "left_semi").select("path", "text", "rsc", "feature"), "symbols": symbols, "edges": all_edges, "type_edges": types,
-        "references": references, "calls": calls, "meta": meta,
+        "references": references, "calls": calls, "meta": meta, "skipped": raw.where("error in ('stack-overflow', 'parse-error')").select("path", "error"),
     }
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import release, stable
 
 
 def collapsed(path: Column) -> Column:
@@ -75,25 +78,29 @@ def expected_local(spec: Column) -> Column:
     return spec.startswith(".") | spec.rlike(r"^(@/|~/|~|#)")
 
 
-def origins(exports: DataFrame, forwards: DataFrame, max_hops: int = 50) -> DataFrame:
+def origins(exports: DataFrame, forwards: DataFrame) -> DataFrame:
     """path, name, origin, origin_name, hops: the file that declares what a file forwards, over any number of hops.
 
+    A file's name is reached once, so circles end; a level is written once, and folded into one table every eighth time.
     ``exports``: (path, name) declared; ``forwards``: (path, name, target, target_name), "*" for all but default.
     """
-    from ..session import stable
-
-    known = stable(exports.select("path", "name", F.col("path").alias("origin"), F.col("name").alias("origin_name"), F.lit(0).alias("hops")).distinct())
-    new, hops = known, 0
+    new = stable(exports.select("path", "name", F.col("path").alias("origin"), F.col("name").alias("origin_name"), F.lit(0).alias("hops")).distinct())
+    levels, hops = [new], 0
     named = forwards.where("name <> '*'")
     star = forwards.where("name = '*'")
-    while hops < max_hops:
+    while True:
         hops += 1
         through = new.select(F.col("path").alias("target"), F.col("name").alias("target_name"), "origin", "origin_name")
         one = named.join(through, ["target", "target_name"]).select("path", "name", "origin", "origin_name")
         many = star.select("path", "target").join(through.where("target_name <> 'default'"), "target").select("path", F.col("target_name").alias("name"), "origin", "origin_name")
         step = one.union(many).groupBy("path", "name").agg(F.min(F.struct("origin", "origin_name")).alias("o")).select("path", "name", "o.*", F.lit(hops).alias("hops"))
-        new = stable(step.join(known, ["path", "name"], "left_anti"))
+        for level in levels:
+            step = step.join(level, ["path", "name"], "left_anti")
+        new = stable(step)
         if new.isEmpty():
-            break
-        known = stable(known.union(new))
-    return known
+            return reduce(DataFrame.unionAll, levels)
+        levels.append(new)
+        if len(levels) > 8:
+            whole = stable(reduce(DataFrame.unionAll, levels))
+            release(*levels[:-1])
+            levels = [whole]

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import feature_of
 
 
+_FACTS: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 class Tables:
     """The tables of one folder, and the facts made of them."""
 
@@ -86,6 +89,47 @@ class Tables:
         text = F.when(F.col("path").endswith("route.ts"), "export async function GET() {}\nexport const POST = handler").otherwise("export default function Page() {}")
         return files.select("path", text.alias("text"), F.when(F.col("path").endswith("page.tsx"), "client").alias("rsc"))
 
+    def source_tree(self) -> DataFrame:
+        """path, text: a TypeScript repository written from the tables: regions, nations that import them, suppliers that import nations.
+
+        It has a barrel and a barrel of that, path aliases, a workspace package, tests, a component, a declaration file and what a map must leave out.
+        """
+        text = lambda *lines: F.concat_ws("\n", *[F.format_string(x, *args) if args else F.lit(x) for x, *args in lines])
+        k = F.col("k")
+        regions = self.read("region").select(F.col("r_regionkey").alias("k"), "r_name")
+        nations = self.read("nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"), F.pmod(F.col("n_regionkey") + 1, F.lit(5)).alias("j"))
+        suppliers = self.read("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+        out = regions.select(F.format_string("src/regions/r%d.ts", k).alias("path"), text(
+            ('export const REGION%d = "%s";', k, F.col("r_name")), ("export interface Shape%d { id: number }", k), ("export default function region%d() { return REGION%d; }", k, k),
+        ).alias("text"))
+        out = out.union(nations.select(F.format_string("src/nations/n%d.ts", k), text(
+            ("'use %s';", F.when(k % 2 == 1, "client").otherwise("strict")), ("import region, { REGION%d as label } from '../regions/r%d.js';", F.col("r"), F.col("r")),
+            ("import type { Shape%d } from '@/regions/r%d';", F.col("j"), F.col("j")), ("import './setup';",), ("// import { no } from './comment';",), ("const local%d = `import x from './no'`;", k),
+            ("export class Nation%d {}", k), ("export function nation%d() { return region(label) + helper%d(); }", k, k), ("function helper%d() { return new Nation%d(); }", k, k),
+        )))
+        out = out.union(nations.select(F.format_string("src/nations/__tests__/n%d.test.ts", k), text(("import { nation%d } from '../n%d';", k, k), ("nation%d();", k))))
+        out = out.union(suppliers.select(F.format_string("src/suppliers/s%d.tsx", k), text(
+            ("import { nation%d as home } from '@/nations';", F.col("n")), ("import { Nation%d } from '@acme/nations/n%d';", F.col("n"), F.col("n")), ("const lazy = import('../nations/n%d');", F.col("n")),
+            ("export const Supplier%d = () => { home(); return <Card%d /> };", k, k), ("export { Supplier%d as Alias%d };", k, k), ("const Card%d = () => null;", k),
+        )))
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda x: F.concat(F.lit("export * from './n"), x.cast("string"), F.lit("';"))), "\n")
+        out = out.union(nations.agg(lines.alias("text")).select(F.lit("src/nations/index.ts"), "text"))
+        fixed = {
+            "src/index.ts": "export { Nation0 as First } from './nations';\nexport * from './nations';", "tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["./src/*"]}}}',
+            "src/nations/package.json": '{"name": "@acme/nations"}', "src/Card.vue": "<template/><script setup lang=\"ts\">import { REGION0 } from './regions/r0'; const shown = REGION0</script>",
+            "types/globals.d.ts": "export type X = 1;", "node_modules/x/index.js": "export const no = 1;", "dist/out.js": "export const no = 1;", "README.md": "text",
+        }
+        return out.union(self.spark.createDataFrame(list(fixed.items()), "path string, text string"))
+
+    def source_facts(self) -> dict[str, DataFrame]:
+        """The facts of ``source_tree``, made once in a session."""
+        from .provider import source_facts
+
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if key not in _FACTS:
+            _FACTS[key] = source_facts(self.source_tree(), ["dist/"])
+        return _FACTS[key]
+
     def steps(self) -> DataFrame:
         """Call edges: within a user, each event type calls the type of the user's next event."""
         order = W.partitionBy("user_id").orderBy("ts", "event_id")

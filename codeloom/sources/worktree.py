@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import read_tree
+from ..operators.fingerprint import fingerprint
+from .configs import CONFIG_FILE
+from .files import is_source, list_tree, read_files, read_tree
 
 
 def _git(root: str, *args: str) -> bytes:
@@ -48,10 +51,28 @@ def changes(root: str) -> list[tuple[str, str, str | None]]:
 
 def read_worktree(spark: SparkSession, root: str) -> DataFrame:
     """path, text, size, mtime of the files that git knows; of all files below ``root`` where there is no repository."""
-    files, names = read_tree(spark, root), tracked(root)
+    names = tracked(root)
     if not names:
-        return files.where(~F.array_contains(F.split("path", "/"), ".git"))
-    return files.join(spark.createDataFrame([(x,) for x in names], "path string"), "path", "left_semi")
+        return read_tree(spark, root)
+    parts = max(1, min(len(names) // 256, spark.sparkContext.defaultParallelism * 4))
+    return read_files(spark.createDataFrame([(x,) for x in names], "path string").repartition(parts), root)
+
+
+def current_state(spark: SparkSession, root: str) -> tuple[str, str]:
+    """(commit, key of the state) of a working tree; without a repository no commit, and a key of all source files' times and sizes."""
+    if commit := head(root):
+        changed = changes(root)
+        stat = {}
+        for _, path, _ in changed:
+            full = os.path.join(root, path)
+            if os.path.lexists(full):
+                at = os.lstat(full)
+                stat[path] = f"{at.st_mtime_ns}:{at.st_size}"
+        return commit, state_token(commit, changed, stat)
+    listed = list_tree(spark, root).where(is_source(F.col("path")) | F.col("path").rlike(CONFIG_FILE))
+    rows = listed.select("path", F.concat_ws(":", F.unix_micros("mtime"), "size").alias("token"))
+    got = fingerprint(rows).first()
+    return "", got["fingerprint"] if got else ""
 
 
 def state_token(head_id: str, changed: list[tuple[str, str, str | None]], stat: dict[str, str]) -> str:

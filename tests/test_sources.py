@@ -182,7 +182,7 @@ def test_worktree(spark, tmp_path):
     (tmp_path / "new/é.ts").write_text("4")
     assert tracked(str(tmp_path)) == [".gitignore", "b.ts", "c d.ts", "new/é.ts"]
     assert changes(str(tmp_path)) == [("R", "c d.ts", "a.ts"), ("??", "new/é.ts", None)]
-    assert {r["path"] for r in read_worktree(spark, str(tmp_path)).collect()} == {"b.ts", "c d.ts", "new/é.ts"}  # Spark passes over names that begin with a dot
+    assert {r["path"] for r in read_worktree(spark, str(tmp_path)).collect()} == {".gitignore", "b.ts", "c d.ts", "new/é.ts"}  # Spark passes over names that begin with a dot
     moved, apart = [("R", "b", "a")], [("A", "b", None), ("D", "a", None)]
     assert state_token("h", moved, {"b": "1"}) != state_token("h", apart, {"b": "1"}) != state_token("g", apart, {"b": "1"})
     assert state_token("h", apart, {}) == state_token("h", apart[::-1], {}) and parse_changes(b"") == []
