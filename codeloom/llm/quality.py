@@ -2,10 +2,14 @@
 
 Each document gets integer metrics. A sketch counts, for each group and metric, the values with all but
 their highest six bits cleared: its error is below 1/32 of a value, and two sketches merge by adding counts, in
-any order. From the quartiles of its group a document's limits are
+any order. It holds the documents that pass the base rule. No limit is a number set beforehand: with a metric's level p (``LEVELS``),
+a document's limits are
 
-    upper = q75 + max(3 * (q75 - q25), least width),   lower = q25 - max(3 * (q75 - q25), least width).
+    upper = q(p) + REACH * (q(p) - q(1/2)),   lower = q(1 - p) - REACH * (q(1/2) - q(1 - p)),
 
+so the spread of its own group decides how far its values may lie out. The levels are shares: how much of a group each metric presumes sound.
+Where that share of a group has one and the same value, this value is the limit. One event alone (a symbol, a repeated line) never decides:
+a document is judged by the class of what it would have with one event fewer.
 Groups are (lang, source); one with fewer than ``MIN_GROUP`` documents takes the merged sketch of its language,
 and a language with fewer that of all documents. Documents and limits are joined, and what lies beyond is rejected.
 
@@ -25,8 +29,9 @@ from .common import WHITE, Scratch, WordHashes, flat, fresh, inside, map_arrow,
 
 SYMBOLS = "#*$%&|<>"
 MIN_GROUP = 100
-#: Metric: least width of its fences; word_length is held from both sides.
-WIDTHS = {"symbols": 300, "dup_lines": 4000, "repeats": 2500, "adjacent": 1000, "upper": 3000, "word_length": 200}
+#: Metric: its level p; word_length is held from both sides.
+LEVELS = {"symbols": 0.9, "dup_lines": 0.98, "repeats": 0.98, "adjacent": 0.95, "upper": 0.95, "word_length": 0.95}
+REACH = 3
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_adjacent", "n_upper"]
 _UPPER = bytes(range(65, 91))
 
@@ -74,28 +79,38 @@ def with_features(docs: DataFrame, column: str) -> DataFrame:
     return map_arrow(docs, work, T.StructType([*docs.schema.fields, T.StructField(column, kind)]))
 
 
-def metrics(f: str) -> dict[str, F.Column]:
-    share = lambda top, bottom, by=10000: F.expr(f"{by} * {f}.{top} div greatest({f}.{bottom}, 1)")
+def metrics(f: str, less: int = 0) -> dict[str, F.Column]:
+    """The metrics of a document, with ``less`` events fewer of what they count."""
+    share = lambda top, bottom, by=10000: F.expr(f"{by} * greatest({f}.{top} - {less}, 0) div greatest({f}.{bottom}, 1)")
     return {
         "symbols": share("n_symbols", "word_chars"),
         "dup_lines": share("n_dup_lines", "n_lines"),
         "repeats": share("n_repeat_words", "n_words"),
         "adjacent": share("n_adjacent", "n_words"),
         "upper": share("n_upper", "word_chars"),
-        "word_length": share("word_chars", "n_words", 100),
+        "word_length": F.expr(f"100 * {f}.word_chars div greatest({f}.n_words, 1)"),
     }
 
 
+def base_failed(f: str) -> F.Column:
+    """Under 20 words, or over 30 in 100 words in repeated windows."""
+    return F.expr(f"{f}.n_words < 20 or 100 * {f}.n_repeat_words > 30 * {f}.n_words")
+
+
+def cleared(v: F.Column) -> F.Column:
+    """The class of a value in the sketch: all but its highest six bits cleared."""
+    low = F.greatest(F.length(F.bin(v)) - 6, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", v, low), low)
+
+
 def sketches(features: DataFrame, f: str) -> DataFrame:
-    """Counts by lang, source, metric and value class, over every document with a word."""
+    """Counts by lang, source, metric and value class, over every document that passes the base rule."""
     pairs = F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("v")) for k, v in metrics(f).items()])
-    rows = features.where(F.col(f"{f}.n_words") > 0).select("lang", "source", F.explode(pairs).alias("m"))
-    low = "greatest(length(bin(m.v)) - 6, 0)"
-    value = F.expr(f"shiftleft(shiftright(m.v, {low}), {low})")
-    return rows.groupBy("lang", "source", F.col("m.metric").alias("metric"), value.alias("value")).agg(F.count("*").alias("n"))
+    rows = features.where(~base_failed(f)).select("lang", "source", F.explode(pairs).alias("m"))
+    return rows.groupBy("lang", "source", F.col("m.metric").alias("metric"), cleared(F.col("m.v")).alias("value")).agg(F.count("*").alias("n"))
 
 
-def _quantile(q: float) -> str:
+def _quantile(q: str) -> str:
     """Of bins [(value, n)] in order: the first value with at least the share q of all at or below it."""
     return f"""aggregate(bins, named_struct('left', cast(ceil({q} * total) as bigint), 'value', cast(null as bigint)),
         (a, x) -> named_struct('left', a.left - x.n, 'value', if(a.value is null and a.left - x.n <= 0, x.value, a.value)), a -> a.value)"""
@@ -103,23 +118,25 @@ def _quantile(q: float) -> str:
 
 def limits(counts: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """One row per (lang, source) with a lower and an upper limit for each metric."""
-    def quartiles(keys: list[str], level: int) -> DataFrame:
+    level = F.element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), F.col("metric"))
+
+    def fences(keys: list[str], depth: int) -> DataFrame:
         merged = counts.groupBy(*keys, "metric", "value").agg(F.sum("n").alias("n"))
-        merged = merged.groupBy(*keys, "metric").agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("bins"), F.sum("n").alias("total"))
-        merged = merged.select(*keys, "metric", "total", F.expr(_quantile(0.25)).alias("q25"), F.expr(_quantile(0.75)).alias("q75"))
-        return merged.groupBy(*keys).agg(F.first("total").alias(f"n{level}"), *[F.first(F.when(F.col("metric") == k, F.struct("q25", "q75")), True).alias(f"{k}{level}") for k in WIDTHS])
-
-    by_lang = quartiles(["lang"], 1).withColumnRenamed("lang", "lang_")
-    grouped = quartiles(["lang", "source"], 0).join(by_lang, F.col("lang").eqNullSafe(F.col("lang_")), "left").drop("lang_")
-    every = quartiles([], 2).first()  # one row of two numbers a metric
-    if every is None or every["n2"] is None:
-        every = {f"{k}2": (0, 0) for k in WIDTHS}
-    grouped = grouped.withColumns({f"{k}2": F.struct(F.lit(every[f"{k}2"][0]).cast("long").alias("q25"), F.lit(every[f"{k}2"][1]).cast("long").alias("q75")) for k in WIDTHS})
+        merged = merged.groupBy(*keys, "metric").agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("bins"), F.sum("n").alias("total")).withColumn("p", level)
+        merged = merged.select(*keys, "metric", "total", F.expr(_quantile("p")).alias("high"), F.expr(_quantile("0.5D")).alias("mid"), F.expr(_quantile("(1 - p)")).alias("low"))
+        pair = F.struct((F.col("high") + REACH * (F.col("high") - F.col("mid"))).alias("most"), (F.col("low") - REACH * (F.col("mid") - F.col("low"))).alias("least"))
+        return merged.groupBy(*keys).agg(F.first("total").alias(f"n{depth}"), *[F.first(F.when(F.col("metric") == k, pair), True).alias(f"{k}{depth}") for k in LEVELS])
+
+    by_lang = fences(["lang"], 1).withColumnRenamed("lang", "lang_")
+    grouped = fences(["lang", "source"], 0).join(by_lang, F.col("lang").eqNullSafe(F.col("lang_")), "left").drop("lang_")
+    every = fences([], 2).first()  # one row of two numbers a metric
+    for k in LEVELS:
+        most, least = every[f"{k}2"] if every is not None and every["n2"] is not None else (None, None)
+        grouped = grouped.withColumn(f"{k}2", F.struct(F.lit(most).cast("long").alias("most"), F.lit(least).cast("long").alias("least")))
     out = ["lang", "source"]
-    for k, width in WIDTHS.items():
+    for k in LEVELS:
         q = F.when(F.col("n0") >= min_group, F.col(f"{k}0")).when(F.col("n1") >= min_group, F.col(f"{k}1")).otherwise(F.col(f"{k}2"))
-        reach = F.greatest(3 * (q["q75"] - q["q25"]), F.lit(width))
-        out += [(q["q75"] + reach).alias(f"{k}_most"), (q["q25"] - reach).alias(f"{k}_least")]
+        out += [q["most"].alias(f"{k}_most"), q["least"].alias(f"{k}_least")]
     return grouped.select(*out)
 
 
@@ -138,12 +155,12 @@ def judged(docs: DataFrame, min_group: int = MIN_GROUP, column: str = "quality",
     most = most.select(F.struct("*").alias(lim := fresh(docs, "limits")))
     full = with_features(docs, column) if text else narrow
     rows = full.join(most, F.col("lang").eqNullSafe(F.col(f"{lim}.lang")) & F.col("source").eqNullSafe(F.col(f"{lim}.source")), "left")
-    failed = F.expr(f"{column}.n_words < 20 or 100 * {column}.n_repeat_words > 30 * {column}.n_words")
+    failed = base_failed(column)
     fits = F.lit(True)
-    for k, v in metrics(column).items():
-        fits &= v <= F.col(f"{lim}.{k}_most")
+    for k, v in metrics(column, 1).items():
+        fits &= cleared(v) <= F.col(f"{lim}.{k}_most")
         if k == "word_length":
-            fits &= v >= F.col(f"{lim}.{k}_least")
+            fits &= cleared(v) >= F.col(f"{lim}.{k}_least")
     verdict = F.struct(f"{column}.*", failed.alias("base_failed"), (~failed & F.coalesce(fits, F.lit(False))).alias("kept"))
     return rows.select(*[F.col(f"`{c}`") for c in full.columns if c != column], verdict.alias(column)), column
 

@@ -81,15 +81,15 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_nearest_neighbours, op3_packing, op4_secret_scan, op5_source_mix, op6_line_dedup, op7_subword_lm, op8_substring_dedup, op9_chat_formatting, op10_minhash_near_dedup)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-_METRICS = {"symbols": ("n_symbols", "word_chars", 10000, 300), "dup_lines": ("n_dup_lines", "n_lines", 10000, 4000), "repeats": ("n_repeat_words", "n_words", 10000, 2500), "adjacent": ("n_adjacent", "n_words", 10000, 1000), "upper": ("n_upper", "word_chars", 10000, 3000), "word_length": ("word_chars", "n_words", 100, 200)}
+_METRICS = {"symbols": ("n_symbols", "word_chars", 10000, 0.9), "dup_lines": ("n_dup_lines", "n_lines", 10000, 0.98), "repeats": ("n_repeat_words", "n_words", 10000, 0.98), "adjacent": ("n_adjacent", "n_words", 10000, 0.95), "upper": ("n_upper", "word_chars", 10000, 0.95), "word_length": ("word_chars", "n_words", 100, 0.95)}
 
 
 def _quality_sql() -> str:
-    pairs = " union all ".join(f"select doc_id, lang, source, '{k}' as metric, {by} * {top} // greatest({bottom}, 1) as v, {width} as width from f where n_words > 0" for k, (top, bottom, by, width) in _METRICS.items())
-    level = lambda i, keys: f"""l{i} as (select {keys}metric, sum(n) as total,
-        min(value) filter (upto >= ceil(0.25 * total_)) as q25, min(value) filter (upto >= ceil(0.75 * total_)) as q75 from (
-          select {keys}metric, value, n, sum(n) over (partition by {keys}metric order by value) as upto, sum(n) over (partition by {keys}metric) as total_
-          from (select {keys}metric, value, count(*) as n from b group by all)) group by {keys}metric)"""
+    pairs = " union all ".join(f"select doc_id, lang, source, '{k}' as metric, {by} * {top} // greatest({bottom}, 1) as v, {by} * greatest({top} - {0 if k == 'word_length' else 1}, 0) // greatest({bottom}, 1) as u, {p}::double as p from f where not (n_words < 20 or 100 * n_repeat_words > 30 * n_words)" for k, (top, bottom, by, p) in _METRICS.items())
+    level = lambda i, keys: f"""l{i} as (select {keys}metric, total, high + 3 * (high - mid) as most, low - 3 * (mid - low) as least from (select {keys}metric, sum(n) as total,
+        min(value) filter (upto >= ceil(p * total_)) as high, min(value) filter (upto >= ceil(0.5 * total_)) as mid, min(value) filter (upto >= ceil((1 - p) * total_)) as low from (
+          select {keys}metric, p, value, n, sum(n) over (partition by {keys}metric order by value) as upto, sum(n) over (partition by {keys}metric) as total_
+          from (select {keys}metric, p, value, count(*) as n from b group by all)) group by {keys}metric))"""
     return f"""
 with d as (select doc_id, lang, source, coalesce(text, '') as t, {_WORDS} as w, string_split(coalesce(text, ''), chr(10)) as lines from documents),
 g as (select doc_id, i, unnest(list_transform(range(1, len(w) - 6), lambda k: k)) as s, w from (select doc_id, w, 0 as i from d where len(w) >= 8)),
@@ -102,12 +102,12 @@ f as (select d.doc_id, lang, source, len(w) as n_words, coalesce(list_sum(list_t
   coalesce(gc.n, 0) as n_repeat_words, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) as n_adjacent,
   length(regexp_replace(t, '[^A-Z]', '', 'g')) as n_upper from d left join gc on gc.doc_id = d.doc_id),
 m as ({pairs}),
-b as (select lang, source, metric, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) as value from m),
+b as (select lang, source, metric, p, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) as value from m),
 {level(0, "lang, source, ")}, {level(1, "lang, ")}, {level(2, "")},
-j as (select m.doc_id, bool_and(m.v <= q.q75 + greatest(3 * (q.q75 - q.q25), m.width) and (m.metric <> 'word_length' or m.v >= q.q25 - greatest(3 * (q.q75 - q.q25), m.width))) as fits
+j as (select m.doc_id, bool_and(((m.u >> greatest(length(bin(m.u)) - 6, 0)) << greatest(length(bin(m.u)) - 6, 0)) <= q.most and (m.metric <> 'word_length' or ((m.v >> greatest(length(bin(m.v)) - 6, 0)) << greatest(length(bin(m.v)) - 6, 0)) >= q.least)) as fits
   from m join (select l0.lang, l0.source, l0.metric,
-    case when l0.total >= 100 then l0.q25 when l1.total >= 100 then l1.q25 else l2.q25 end as q25,
-    case when l0.total >= 100 then l0.q75 when l1.total >= 100 then l1.q75 else l2.q75 end as q75
+    case when l0.total >= 100 then l0.most when l1.total >= 100 then l1.most else l2.most end as most,
+    case when l0.total >= 100 then l0.least when l1.total >= 100 then l1.least else l2.least end as least
     from l0 join l1 on l0.lang is not distinct from l1.lang and l0.metric = l1.metric join l2 on l0.metric = l2.metric) q
   on m.lang is not distinct from q.lang and m.source is not distinct from q.source and m.metric = q.metric group by m.doc_id)
 select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
