@@ -34,7 +34,7 @@ LEAST = 0.8
 WORDS = re.compile(r"[A-Za-z]?[a-z]+(?:(?:[_./-][A-Z]?|[A-Z])[a-z]{2,})*", re.ASCII)
 
 _STRING = r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`"
-_PAIR = re.compile(rf"(?<![\w.$-])[\"']?([A-Za-z_][\w.-]{{0,127}})[\"']?[ \t]*(?::[ \t]*[A-Za-z_][\w<>\[\]|]{{0,40}}[ \t]*(?==))?(?::=|=>|[:=])[ \t]*(?:{_STRING}|([\w+/.$@!%^&*={{}}~-]+))", re.ASCII)
+_PAIR = re.compile(rf"(?<![\w.$-])[\"']?([A-Za-z_][\w.-]{{0,127}})[\"']?[ \t]*(?::[ \t]*[A-Za-z_][\w<>\[\]|]{{0,40}}[ \t]*(?==))?(?::=|=>|[:=])[ \t]*(?:{_STRING}|([\w+/.$@!%^&*{{}}~-]+(?:={{1,2}}(?![\w+/.$@!%^&*{{}}~=\"'-]))?))", re.ASCII)
 _JOIN = re.compile(rf"[ \t]*\+[ \t]*(?:{_STRING})")
 _NAME = re.compile(r"\$?\{?([A-Za-z_][\w.-]*)\}?;?", re.ASCII)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.ASCII)
@@ -60,57 +60,51 @@ def literal_score(value: str) -> float:
 
 
 def pairs(text: str) -> list[tuple[str, str | None, int, int, str | None]]:
-    """(name, literal, start, end, None) or (name, None, 0, 0, name referred to)."""
+    """(name, literal, start, end, name referred to or None), read from left to right by one cursor.
+
+    A bare value ends before an equals sign that goes on, so what may begin the next pair is at most one value, read twice.
+    """
     out, at = [], 0
     while m := _PAIR.search(text, at):
         name, at = m[1], m.end()
         group = next(i for i in range(2, 6) if m[i] is not None)
         if group < 5:
-            value, start, end = m[group], m.start(group), m.end(group)
+            parts, start, end = [m[group]], m.start(group), m.end(group)
             while j := _JOIN.match(text, at):
                 g = next(i for i in range(1, 4) if j[i] is not None)
-                value, end, at = value + j[g], j.end(g), j.end()
-            out.append((name, value, start, end, None))
-        elif (r := _NAME.fullmatch(m[5])) and r[1]:
+                parts.append(j[g])
+                end, at = j.end(g), j.end()
+            out.append((name, "".join(parts), start, end, None))
+            continue
+        if (r := _NAME.fullmatch(m[5])) and r[1]:
             out.append((name, m[5], m.start(5), m.end(5), r[1]))
         else:
             out.append((name, m[5].rstrip(";"), m.start(5), m.start(5) + len(m[5].rstrip(";")), None))
-        if group == 5 and not out[-1][4] and "=" in m[5]:
-            at = m.start(5)  # the value may itself begin a pair
+        if text[at : at + 1] in ("=", ":", " ", "\t"):
+            at = m.start(5)  # the value may itself be the name of a pair
     return out
 
 
 def lexed(text: str) -> set[tuple[int, int]]:
-    """Spans of the literals that sensitive names hold, directly or through other names."""
+    """Spans of the literals that sensitive names hold, directly or through other names.
+
+    Each name takes the weight of the most sensitive name that leads to it: names are visited once, by falling weight.
+    """
     low = text.lower()
     if sum(w for x, w in SENSITIVE.items() if x in low) < LEAST - 1e-9:
         return set()  # no name can reach it: a name's parts stand in the text
-    found = pairs(text)
     held: dict[str, list[tuple]] = defaultdict(list)
-    for p in found:
+    for p in pairs(text):
         held[p[0]].append(p)
-
-    reached: dict[str, list[tuple]] = {}
-
-    def literals(name: str) -> list[tuple[str, int, int]]:
-        """Of a name and all names that its values lead to."""
-        if name not in reached:
-            seen, todo, got = {name}, [name], []
-            while todo:
-                for _, value, start, end, other in held[todo.pop()]:
-                    if other is None or other not in held:
-                        got.append((value, start, end))
-                    elif other not in seen:
-                        seen.add(other)
-                        todo.append(other)
-            reached[name] = got
-        return reached[name]
-
-    out = set()
-    for name in list(held):
-        if weight := name_score(name):
-            out |= {(s, e) for v, s, e in literals(name) if weight * literal_score(v) >= LEAST}
-    return out
+    weights = {name: name_score(name) for name in held}
+    best: dict[str, float] = {}
+    for first in sorted((x for x in held if weights[x] >= LEAST), key=lambda x: -weights[x]):
+        todo = [first]
+        while todo:
+            if (name := todo.pop()) not in best:
+                best[name] = weights[first]
+                todo += [p[4] for p in held[name] if p[4] in held]
+    return {(start, end) for name, weight in best.items() for _, value, start, end, other in held[name] if (other is None or other not in held) and weight * literal_score(value) >= LEAST}
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
