@@ -1,4 +1,4 @@
-"""A Bloom filter of a column of hashes, built by a fixed number of tasks and merged by blocks."""
+"""A Bloom filter of a column of hashes, built by each task for what it reads and merged by blocks."""
 
 from __future__ import annotations
 
@@ -30,7 +30,7 @@ def put(held: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(held, (at >> np.uint64(3)).ravel(), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)).ravel())
 
 
-def build(hashes: DataFrame, bits: int, tasks: int) -> np.ndarray:
+def build(hashes: DataFrame, bits: int) -> np.ndarray:
     """The filter of the one long column of ``hashes``; at most ``MOST_BITS`` bits reach the driver."""
     name = hashes.columns[0]
 
@@ -56,7 +56,7 @@ def build(hashes: DataFrame, bits: int, tasks: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "held": [zlib.compress(v, 1)]})
 
     schema = "block int, held binary"
-    merged = hashes.coalesce(tasks).mapInArrow(fill, schema).repartition(max(1, min(tasks, bits // 8 // BLOCK)), "block").mapInArrow(fold, schema)
+    merged = hashes.mapInArrow(fill, schema).repartition("block").mapInArrow(fold, schema)
     out = np.zeros(bits // 8, np.uint8)
     for r in merged.collect():
         block = np.frombuffer(zlib.decompress(r["held"]), np.uint8)

@@ -1,11 +1,11 @@
 """Line deduplication by two Bloom filters, for hashes seen once and seen twice.
 
-A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased. Each of a fixed number of tasks streams its
+A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased. Each task streams its
 documents into two filters; a key found by two tasks has all its bits in both tasks' first filters, so merging by
 ``twice |= once & other`` never misses a repeat. Only keys in the second filter shuffle, as 128-bit hashes added up before the
 shuffle, and are counted exactly. Filters are sized by the number of documents up to ``bloom.MOST_BITS``; beyond that more keys
-shuffle, and results stay the same. The common keys go to all tasks if there are at most ``BROADCAST_KEYS``, else they are
-joined to the documents that hold them.
+shuffle, and results stay the same. The ``BROADCAST_KEYS`` most common keys go to all tasks; others, none of which is hot, are
+joined to the texts that hold them.
 
 Defined cases: each row is a document, also if its doc_id repeats; null or empty text is one empty line; a line without
 a key is never dropped; the first occurrence is the smallest (doc_id, line); an empty table gives an empty
@@ -15,11 +15,12 @@ result; other columns are kept as they are.
 from __future__ import annotations
 
 import zlib
+from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +42,7 @@ def _batch_hashes(docs: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(k) for x in docs for k in set(_keys(x.encode("utf-8", "surrogatepass"))) if k], np.uint64)
 
 
-def repeated(docs: DataFrame, bits: int, tasks: int) -> np.ndarray:
+def repeated(docs: DataFrame, bits: int) -> np.ndarray:
     """The filter of keys that may be in two documents; at most ``bloom.MOST_BITS`` bits reach the driver."""
 
     def fill(batches):
@@ -73,8 +74,7 @@ def repeated(docs: DataFrame, bits: int, tasks: int) -> np.ndarray:
         yield from rows((k, *v) for k, v in held.items())
 
     schema = "block int, once binary, twice binary"
-    parts = docs.select("text").coalesce(tasks).mapInArrow(fill, schema)
-    merged = parts.repartition(max(1, min(tasks, bits // 8 // BLOCK)), "block").mapInArrow(fold, schema).select("block", "twice")
+    merged = docs.select("text").mapInArrow(fill, schema).repartition("block").mapInArrow(fold, schema).select("block", "twice")
     out = np.zeros(bits // 8, np.uint8)
     for r in merged.collect():
         block = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
@@ -86,7 +86,7 @@ def common_lines(docs: DataFrame, min_docs: int, bits: int = 0) -> DataFrame:
     """Keys found in at least ``min_docs`` documents, by 128-bit hash, and where each comes first."""
     spark = docs.sparkSession
     bits = bits or bloom.bits_for(docs.count(), BITS_PER_DOCUMENT)
-    seen = spark.sparkContext.broadcast(repeated(docs, bits, max(2, spark.sparkContext.defaultParallelism)))
+    seen = spark.sparkContext.broadcast(repeated(docs, bits))
 
     def suspects(batch: pa.RecordBatch):
         keys, owner, line = [], [], []
@@ -143,31 +143,44 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, keep: str = "none", column:
         struct = pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], ["text", "n_lines", "n_dropped"])
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), struct], names=[*names, column])
 
-    if common.count() <= broadcast_keys:
-        held = {bytes(r["key"]): (r["first"]["doc_id"], r["first"]["line"]) for r in common.select("key", "first").collect()}
-        sent = spark.sparkContext.broadcast(held)
+    often = most_common(common, broadcast_keys)
+    held = {bytes(r["key"]): (r["first"]["doc_id"], r["first"]["line"]) for r in common.where(often).select("key", "first").collect()}
+    sent, others = spark.sparkContext.broadcast(held), common.where(~often)
+    if others.isEmpty():
         return map_arrow(docs, lambda batch: cut(batch, lambda i: sent.value), out), column
 
     def mine(batch: pa.RecordBatch):
-        rows = [(i, xxhash.xxh3_128_digest(k)) for i, x in enumerate(texts(batch)) for k in set(_keys(x.encode("utf-8", "surrogatepass"))) if k]
+        rows = [(i, h) for i, x in enumerate(texts(batch)) for k in set(_keys(x.encode("utf-8", "surrogatepass"))) if k and (h := xxhash.xxh3_128_digest(k)) not in sent.value]
         if rows:
             at, keys = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(keys, pa.binary())], names=["id", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(keys, pa.binary())], names=["id", "key"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    held = map_arrow(docs.select("doc_id", "text"), mine, f"id {kind}, key binary").join(common.select("key", "first"), "key")
-    held = held.groupBy("id").agg(F.collect_set(F.struct("key", "first")).alias("drops"))
+    # by text, not by row: rows of one text lose the same lines, and lines of another text of the same hash are not in this one
+    rows = docs.where("text is not null").select(F.xxhash64("text").alias("id"), "text")
+    found = map_arrow(rows, mine, "id long, key binary").distinct().join(others.select("key", "first"), "key")
+    found = found.groupBy("id").agg(F.collect_set(F.struct("key", "first")).alias("drops"))
     mark = fresh(docs, "drops")
-    held = held.select(F.struct("id", "drops").alias(mark))
-    rows = docs.join(held, F.col("doc_id").eqNullSafe(F.col(f"{mark}.id")), "left")
+    rows = docs.join(found.select(F.struct("id", "drops").alias(mark)), F.xxhash64("text") == F.col(f"{mark}.id"), "left")
 
     def joined(batch: pa.RecordBatch):
         drops = [{bytes(y["key"]): (y["first"]["doc_id"], y["first"]["line"]) for y in x["drops"]} if x else {} for x in batch.column(mark).to_pylist()]
-        yield from cut(batch, drops.__getitem__)
+        yield from cut(batch, lambda i: ChainMap(drops[i], sent.value) if drops[i] else sent.value)
 
     return map_arrow(rows, joined, out), column
 
 
+def most_common(common: DataFrame, keys: int) -> Column:
+    """Whether a key of ``common`` (key, n) is among the ``keys`` most common ones, and never among more; of equal classes of n, all or none."""
+    low = "greatest(length(bin(n)) - 6, 0)"
+    level = F.expr(f"shiftleft(shiftright(n, {low}), {low})")
+    least = 1 << 62
+    for r in common.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        if (keys := keys - r["n"]) < 0:
+            break
+        least = r["level"]
+    return level >= least
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = 10, keep: str = "first") -> DataFrame:
     """``docs`` with the kept lines as text and, where there is such a column, n_chars brought up to date."""
     rows, column = line_dedup(docs, min_docs, keep)

@@ -68,7 +68,7 @@ def repeated_anchors(docs: DataFrame, scratch: Scratch, width: int, anchor: int)
     counted = map_arrow(docs.select("text"), work, "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n"))
     again = scratch.save(counted.where("n > 1").select("anchor"), "anchors")
     bits = bloom.bits_for(again.count())
-    held = bloom.build(again, bits, max(2, docs.sparkSession.sparkContext.defaultParallelism))
+    held = bloom.build(again, bits)
     scratch.drop("anchors")
     return held, bits
 
@@ -93,7 +93,7 @@ def _removed(docs: DataFrame, scratch: Scratch, width: int, anchor: int) -> Data
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(p["doc"][begin])), batch.column("text_hash").take(pa.array(p["doc"][begin])), pa.array(p["start"][begin]), pa.array(keys, pa.binary()), pa.array(runs, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "start", "path", "hashes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = scratch.save(map_arrow(docs.select("doc_id", "text", F.hash("text").alias("text_hash")), work, f"doc_id {kind}, text_hash int, start long, path binary, hashes array<long>"), "paths")
+    rows = scratch.save(map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), work, f"doc_id {kind}, text_hash long, start long, path binary, hashes array<long>"), "paths")
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     # The first occurrence of each different path; its windows' hashes are the same wherever it occurs.
     first = scratch.save(rows.groupBy("path").agg(F.min(F.struct(order.alias("d"), "start")).alias("f")), "first")
@@ -118,7 +118,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -
     spark = tuned(docs.sparkSession)
     scratch = Scratch(spark)
     spans = _removed(docs, scratch, width, anchor).groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).agg(F.collect_list("span").alias("spans"))
-    rows = docs.select("doc_id", "text").join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.hash("text") == F.col("h")), "left").select("doc_id", "text", "spans")
+    rows = docs.select("doc_id", "text").join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("h")), "left").select("doc_id", "text", "spans")
 
     def work(batch: pa.RecordBatch):
         words = [x.encode("utf-8", "surrogatepass").split() for x in texts(batch)]
