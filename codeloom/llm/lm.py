@@ -7,7 +7,7 @@ has the probability of its lattice, summed forward in log space; a character tha
 A text's probability is the product over its words and the end, which is the file's ``</s>`` piece, counted as the base counts it.
 
 Word counts are added up in each task and again by word. The most frequent words, at most ``FREQUENT``, go to all tasks with
-their counts and scores; other words of a document are joined to theirs, and no rare word is hot. So the table of words may be of any size.
+their counts and scores; other words of a document are joined to theirs, and none of these is hot (``often_used``). So the table of words may be of any size.
 
 Training documents are those whose crc32 of the doc_id as text leaves no remainder of ``held`` by ``folds``; a null doc_id counts as the text "null".
 Base: sum over tokens of log10((c + 1) / (N + V + 1)); tokens are lower-cased (A-Z) words and one end.
@@ -25,7 +25,7 @@ from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, map_arrow, texts, tuned
@@ -260,6 +260,23 @@ def fitted(words: DataFrame, path: str, rounds: int) -> np.ndarray:
     return np.log(normalized(weight))
 
 
+def often_used(known: DataFrame, frequent: int) -> Column:
+    """Whether a word of ``known`` (word, d) is among about the ``frequent`` most used ones, and never among more.
+
+    Counts are classed by their highest six bits, at most 2,000 classes. Classes are taken whole from the top; of the first that doesn't fit, the words
+    of the smallest hashes. So a word that is left out is used no more than each of nearly ``frequent`` others: none is hot.
+    """
+    low = "greatest(length(bin(d)) - 6, 0)"
+    level = F.expr(f"shiftleft(shiftright(d, {low}), {low})")
+    room, least, share = frequent, 1 << 62, 0
+    for r in known.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        if r["n"] > room:
+            share = int((1 << 30) * max(0.0, room - 4 * math.sqrt(room)) / r["n"])
+            return (level > r["level"]) | (level == r["level"]) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share)
+        room, least = room - r["n"], r["level"]
+    return level >= least
+
+
 def score(docs: DataFrame, path: str, held: int = 2, folds: int = 7, rounds: int = ROUNDS, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     spark = tuned(docs.sparkSession)
@@ -276,15 +293,8 @@ def score(docs: DataFrame, path: str, held: int = 2, folds: int = 7, rounds: int
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c), pa.array(d), pa.array(p / LOG10)], names=["word", "c", "d", "p"])
 
     known = scratch.save(counts.mapInArrow(measured, "word binary, c long, d long, p double"), "known")
-    # the least count of the most frequent words, of which there are at most `frequent`
-    by_count = known.groupBy(F.least("d", F.lit(1 << 16)).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("d")).collect()
-    least, so_far = 1 << 62, 0
-    for r in by_count:
-        so_far += r["n"]
-        if so_far > frequent:
-            break
-        least = r["d"]
-    often = spark.sparkContext.broadcast({bytes(r["word"]): (r["c"], r["p"]) for r in known.where((F.col("d") >= least) | (F.length("word") == 0)).collect()})
+    frequent_words = known.where(often_used(known, frequent) | (F.length("word") == 0))
+    often = spark.sparkContext.broadcast({bytes(r["word"]): (r["c"], r["p"]) for r in frequent_words.collect()})
     bottom = math.log10(total + kinds + 1)
 
     def run(batch: pa.RecordBatch):
@@ -312,7 +322,7 @@ def score(docs: DataFrame, path: str, held: int = 2, folds: int = 7, rounds: int
     mark = fresh(rows, "row")
     rows = scratch.save(rows.withColumn(mark, F.monotonically_increasing_id()), "rows")
     rare = rows.select(mark, F.explode(F.arrays_zip("rare", "times")).alias("r")).select(mark, F.col("r.rare").alias("word"), F.col("r.times").alias("n"))
-    added = rare.join(known.where(F.col("d") < least), "word")
+    added = rare.join(known.where(~often_used(known, frequent)), "word")
     added = added.groupBy(mark).agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * (F.log10(F.col("c") + 1) - F.lit(bottom))).alias("b"), F.sum(F.col("n") * F.col("p")).alias("p"))
     out = rows.drop("rare", "times").join(added, mark, "left")
     plus = lambda x, y, zero: F.col(x) + F.coalesce(F.col(y), F.lit(zero))
