@@ -6,6 +6,7 @@ A message is one row (conv_id, turn, role, text). A text that is a JSON object m
 * be a result: ``{"tool_call_id": .., "content": ..}``;
 * declare tools: ``{"tools": [{"name": .., "parameters": {"properties": {p: {"type": .., "enum": [..]}}, "required": [..]}}]}``.
 
+A call's and a tool's name, arguments and parameters may also stand in a ``function`` object, and arguments may be the text of a JSON object.
 Calls and results are hash-joined by (conv_id, identifier): a result belongs to the first call of its id in the conversation, and
 the first result of an id answers it. A message's place is (order_turn, order_step): its own turn and step 0, but a result that stands before
 its call's place comes right after it, at the turn of that place and one step on; so along every link order grows. Chains of results that call
@@ -27,8 +28,8 @@ from .common import Scratch
 
 _PARSED = """struct<
   content: variant, tool_call_id: string,
-  tool_calls: array<struct<id: string, name: string, arguments: variant>>,
-  tools: array<struct<name: string, parameters: struct<properties: map<string, struct<type: string, enum: array<variant>>>, required: array<string>>>>>"""
+  tool_calls: array<struct<id: string, name: string, arguments: variant, function: struct<name: string, arguments: variant>>>,
+  tools: array<struct<name: string, parameters: PARAMETERS, function: struct<name: string, parameters: PARAMETERS>>>>""".replace("PARAMETERS", "struct<properties: map<string, struct<type: string, enum: array<variant>>>, required: array<string>>")
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -51,13 +52,15 @@ def _json_type(value: Column) -> Column:
 def calls(messages: DataFrame) -> DataFrame:
     """One row per call: conv_id, turn, at, call_id, name, arguments."""
     rows = messages.where("m.tool_calls is not null").select("conv_id", "turn", F.posexplode("m.tool_calls").alias("at", "c"))
-    return rows.select("conv_id", "turn", "at", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"))
+    given = F.coalesce("c.arguments", "c.function.arguments")
+    told = F.when(F.schema_of_variant(given) == "STRING", F.try_parse_json(given.cast("string"))).otherwise(given)
+    return rows.select("conv_id", "turn", "at", F.col("c.id").alias("call_id"), F.coalesce("c.name", "c.function.name").alias("name"), told.alias("arguments"))
 
 
 def declarations(messages: DataFrame) -> DataFrame:
     """conv_id, name and the first declared parameters."""
     rows = messages.where("m.tools is not null").select("conv_id", "turn", F.posexplode("m.tools").alias("at", "t"))
-    rows = rows.select("conv_id", F.col("t.name").alias("name"), "turn", "at", F.col("t.parameters").alias("parameters")).where("name is not null")
+    rows = rows.select("conv_id", F.coalesce("t.name", "t.function.name").alias("name"), "turn", "at", F.coalesce("t.parameters", "t.function.parameters").alias("parameters")).where("name is not null")
     return rows.groupBy("conv_id", "name").agg(F.min_by("parameters", F.struct("turn", "at")).alias("parameters"))
 
 
