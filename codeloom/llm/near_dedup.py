@@ -12,9 +12,9 @@ components in cells of bounded size (``_cells``), first by byte signatures, whic
 then by sets, and cells pass on only links. So a link is lost only if no band or no signature tells of it.
 
 Defined cases: without words or text a set is empty, and the row is linked with nothing, its component being its own
-doc_id; rows of null doc_id take part by their class, and are a component of null where no other is in it; rows that repeat a doc_id are
+doc_id; rows of null doc_id take part like others, and are a component of null where no doc_id is in it; rows that repeat a doc_id are
 judged each by their own set, so two components may bear one doc_id, and ``kept`` holds for each row of it; ``near_dedup`` keeps one row of each
-component (null-doc_id classes that are in no other: one of each class); an empty table gives an empty result; other columns are kept by ``near_dedup``.
+component; an empty table gives an empty result; other columns are kept by ``near_dedup``.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from .components import components
 
 BANDS, ROWS = 50, 6
 ROUNDS, CELL, CELL_SHINGLES = 3, 512, 1 << 20
+#: Members of a bucket that meet its pivot in one place.
+SPREAD = 4096
 #: Another round is worth it if this share of the last one's pairs were links.
 GAIN = 0.02
 _CHUNK = 1 << 15
@@ -105,38 +107,60 @@ def windows_of(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """(node, set, small) of the classes in ``nodes``. A bounded filter of doc_ids spares other texts the shuffle.
+def _ref() -> F.Column:
+    """A hash of a row's doc_id and text_id: rows of the same are alike."""
+    return F.xxhash64("doc_id", "text_id")
 
-    ``small``: the high halves of the hashes, in order, as bytes.
-    """
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(node, set) of the classes in ``nodes``: sorted hashes as bytes. A bounded filter of their rows spares other texts the shuffle."""
     spark = docs.sparkSession
-    ids = scratch.save(nodes.select("first").distinct(), "wanted")
-    bits = bloom.bits_for(ids.count())
-    held = spark.sparkContext.broadcast(bloom.build(ids.select(F.xxhash64("first")), bits, max(2, spark.sparkContext.defaultParallelism)))
+    wanted = scratch.save(nodes.select("ref"), "wanted")
+    bits = bloom.bits_for(wanted.count())
+    held = spark.sparkContext.broadcast(bloom.build(wanted, bits))
     hashes = WordHashes()
 
     def work(batch: pa.RecordBatch):
-        hit = np.flatnonzero(bloom.has(held.value, bloom.probes(batch.column("h").to_numpy().view(np.uint64), bits)))
+        hit = np.flatnonzero(bloom.has(held.value, bloom.probes(batch.column("ref").to_numpy().view(np.uint64), bits)))
         if len(hit):
-            batch = batch.take(pa.array(hit))
-            sets = shingles(texts(batch), hashes, width)
-            keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([(k >> 64) - (1 << 63) for k in keys], pa.int64()), pa.array([(k & ((1 << 64) - 1)) - (1 << 63) for k in keys], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())], names=["first", "hi", "lo", "set", "small"])
+            data = [s.tobytes() for s in shingles(texts(batch.take(pa.array(hit))), hashes, width)]
+            keys = [xxhash.xxh3_128_intdigest(x) for x in data]
+            yield pa.RecordBatch.from_arrays([pa.array([(k >> 64) - (1 << 63) for k in keys], pa.int64()), pa.array([(k & ((1 << 64) - 1)) - (1 << 63) for k in keys], pa.int64()), pa.array(data, pa.binary())], names=["hi", "lo", "set"])
+
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
+    rows = map_arrow(rows.select(_ref().alias("ref"), "text"), work, "hi long, lo long, set binary").dropDuplicates(["hi", "lo"])
+    return scratch.save(rows.join(nodes.select("node", "hi", "lo"), ["hi", "lo"]).select("node", "set"), "sets")
 
-    rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").withColumn("h", F.xxhash64("doc_id")), work, "first long, hi long, lo long, set array<long>, small binary")
-    return scratch.save(rows.join(nodes.select("node", "first", "hi", "lo"), ["first", "hi", "lo"]).select("node", "set", "small").dropDuplicates(["node"]), "sets")
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many hashes two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar enough. a: in few pairs; b may be in many."""
-    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return rows.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    """Those of ``pairs`` (a, b, salt, salts) whose full sets are similar enough. a: in few pairs; b, which may be in many, is dealt to ``salts`` places."""
+    places = pairs.select("b", "salts").distinct().groupBy("b").agg(F.max("salts").alias("salts"))
+    pivots = sets.select(F.col("node").alias("b"), F.col("set").alias("y")).join(places, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    rows = pairs.select("a", "b", "salt").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(pivots, ["b", "salt"])
+
+    def work(batch: pa.RecordBatch):
+        x, y = (batch.column(c).to_pylist() for c in "xy")
+        good = []
+        for i in range(batch.num_rows):
+            u, v = np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64)
+            both = common(u, v)
+            if 100 * both >= percent * (len(u) + len(v) - both):
+                good.append(i)
+        if good:
+            yield batch.select(["a", "b"]).take(pa.array(good))
+
+    return map_arrow(rows.select("a", "b", "x", "y"), work, "a long, b long")
 
 
 def _cells(rows: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different labels that are similar enough by 32-bit sets, which can't miss a link.
+    """Links (a, b) of one bucket and different labels, found on full sets.
 
     Members outside a bucket's largest label meet all its members. Both are dealt to blocks, and each pair of blocks is a cell that
     holds about ``CELL`` members and ``CELL_SHINGLES`` hashes a side. A cell compares a pair if the bucket is the pair's first
@@ -149,8 +173,8 @@ def _cells(rows: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch,
     few = F.col("label") != F.col("main")
     blocks = lambda members: F.greatest(F.ceil(members / CELL), F.ceil(F.col("s") * members / F.col("c") / CELL_SHINGLES), F.lit(1)).cast("int")
     rows = rows.withColumn("ku", blocks(F.col("c") - F.col("m"))).withColumn("ka", blocks(F.col("c"))).withColumn("few", few)
-    rows = rows.join(nodes.select("node", "signature", "bands"), "node").join(sets.select("node", "small"), "node")
-    heavy = ["node", "label", "n", "few", "signature", "bands", "small"]
+    rows = rows.join(nodes.select("node", "signature", "bands"), "node").join(sets, "node")
+    heavy = ["node", "label", "n", "few", "signature", "bands", "set"]
     block = lambda k: F.pmod(F.xxhash64("node"), k).cast("int")
     left = rows.where("few").select("key", block(F.col("ku")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("ka") - 1)).alias("j"), F.lit(True).alias("left"), *heavy)
     right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("ku") - 1)).alias("i"), block(F.col("ka")).alias("j"), F.lit(False).alias("left"), *heavy)
@@ -164,7 +188,7 @@ def _cells(rows: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch,
         node, label, n = (np.array([g[x] for g in all_], np.int64) for x in ("node", "label", "n"))
         rare = np.array([g["few"] for g in all_])
         bands, signature = np.array([g["bands"] for g in all_], np.int64), np.frombuffer(b"".join(g["signature"] for g in all_), np.uint8).reshape(len(all_), -1)
-        small = [np.frombuffer(g["small"], np.uint32) for g in all_]
+        full = [np.frombuffer(g["set"], np.uint64) for g in all_]
         top: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -179,12 +203,11 @@ def _cells(rows: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch,
                 at = at[bands[at, same.argmax(axis=1)] == key]
             if len(at):
                 at = at[(signature[at] == np.frombuffer(u["signature"], np.uint8)).mean(axis=1) >= least]
-            mine = np.frombuffer(u["small"], np.uint32)
+            mine = np.frombuffer(u["set"], np.uint64)
             for k in at.tolist():
                 a, b = find(u["label"]), find(int(label[k]))
                 if a != b:
-                    place = np.minimum(np.searchsorted(mine, small[k]), len(mine) - 1)
-                    both = int((mine[place] == small[k]).sum())
+                    both = common(mine, full[k])
                     if 100 * both >= percent * (u["n"] + int(n[k]) - both):
                         top[a] = b
                         yield u["node"], int(node[k])
@@ -218,9 +241,10 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     spark = tuned(docs.sparkSession)
     scratch = Scratch(spark)
     rows = scratch.save(signed(docs, width), "signed")
-    classes = scratch.save(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "classes")
-    named = classes.where("first is not null")
-    nodes = rows.join(named.withColumnRenamed("first", "doc_id"), ["hi", "lo", "doc_id"]).dropDuplicates(["node"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_id"))
+    classes = rows.where("n > 0").groupBy("hi", "lo").agg(first.alias("f")).select("hi", "lo", F.col("f.doc_id").alias("first"), F.xxhash64("f.doc_id", "f.text_id").alias("ref"))
+    named = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    nodes = rows.withColumn("ref", _ref()).join(named.drop("first"), ["hi", "lo", "ref"]).dropDuplicates(["node"])
 
     banded = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = scratch.save(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
@@ -242,19 +266,24 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 open_ = scratch.save(open_.join(split, "key"), f"open{turn}")
             last = turn == ROUNDS or gain < GAIN
             if last:
-                pairs = scratch.save(_cells(open_, nodes, sets, scratch, percent), "cells")
+                found = scratch.save(_cells(open_, nodes, sets, scratch, percent), f"links{turn}")
+                n_pairs = 1
             else:
                 free = open_ if used is None else open_.join(used, ["key", "node"], "left_anti")
-                pivot = free.groupBy("key").agg(F.max(F.struct("fame", (-F.col("node")).alias("least"), "label", "n")).alias("p"))
-                pivot = scratch.save(pivot.select("key", (-F.col("p.least")).alias("b"), F.col("p.label").alias("b_label"), F.col("p.n").alias("b_n")), f"pivot{turn}")
+                pivot = free.groupBy("key").agg(F.max(F.struct("fame", (-F.col("node")).alias("least"), "label", "n")).alias("p"), F.max("c").alias("members"))
+                pivot = scratch.save(pivot.select("key", (-F.col("p.least")).alias("b"), F.col("p.label").alias("b_label"), F.col("p.n").alias("b_n"), F.ceil(F.col("members") / SPREAD).cast("int").alias("salts")), f"pivot{turn}")
                 new = pivot.select("key", F.col("b").alias("node"))
                 used = new if used is None else used.unionAll(new)
                 fits = 100 * F.least("n", "b_n") >= percent * F.greatest("n", "b_n")
-                pairs = open_.join(pivot, "key").where((F.col("label") != F.col("b_label")) & fits).select(F.col("node").alias("a"), "b").distinct()
-                pairs = scratch.save(pairs, f"pairs{turn}")
-            found = scratch.save(_confirmed(pairs, sets, percent), f"links{turn}")
+                # a bucket of very many members meets its pivot in many places
+                at = pivot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+                pairs = open_.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / SPREAD)).cast("int")).join(at, ["key", "salt"])
+                pairs = pairs.where((F.col("label") != F.col("b_label")) & fits).groupBy(F.col("node").alias("a"), "b").agg(F.max(F.struct("salts", "salt")).alias("at"))
+                pairs = scratch.save(pairs.select("a", "b", "at.salt", "at.salts"), f"pairs{turn}")
+                found = scratch.save(_confirmed(pairs, sets, percent), f"links{turn}")
+                n_pairs = pairs.count()
             n_found = found.count()
-            gain = n_found / max(1, pairs.count())
+            gain = n_found / max(1, n_pairs)
             if n_found:
                 links = found if labels is None else found.unionAll(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
                 labels = scratch.save(components(links, scratch, f"part{turn}").select("node", F.col("component").alias("label")), f"labels{turn}")
@@ -285,8 +314,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # Rows that share a doc_id are told apart by their texts, and one of each component stays.
     several = rows.join(many, rows["doc_id"].eqNullSafe(many["doc_id"]), "left_semi")
     once = rows.join(many, rows["doc_id"].eqNullSafe(many["doc_id"]), "left_anti").select(F.col("doc_id").alias(mark), F.col("text_id").alias(text))
-    alone = F.col("label").isNull()
-    key = F.when(F.col("n") > 0, F.struct("label", F.when(alone, F.col("hi")).alias("hi"), F.when(alone, F.col("lo")).alias("lo")))
+    key = F.when(F.col("n") > 0, F.struct("label"))
     group = fresh(docs, "key")
     told = several.select(F.col("doc_id").alias(mark), F.col("text_id").alias(text), key.alias(group)).distinct()
     hit = own.eqNullSafe(F.col(mark)) & (F.xxhash64("text") == F.col(text))
