@@ -3,7 +3,7 @@
 Largest inner product is made a nearest-distance search by one more coordinate, sqrt(M**2 - |x|**2), M being the largest norm; a query's is 0.
 
 *Lists.* About ``n / LIST`` centroids, at most ``MOST_LISTS``, are fitted by balanced k-means (a cluster's size adds to its distance) on a sample of at most
-``SAMPLE`` vectors, chosen by a hash of vec_id. Every vector is then put into its nearest list, and into others, up to
+``SAMPLE`` vectors and ``SAMPLE_BYTES`` bytes (twice at the most), chosen by a hash of vec_id. Every vector is then put into its nearest list, and into others, up to
 ``REPLICAS``, that are no more than ``BOUNDARY`` times as far.
 *Centroid search.* Centroids form a graph (nearest neighbours and random links), held in memory by each task; a best-first search
 walks it for many vectors at once.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, tuned
 
-LIST, MOST_LISTS, SAMPLE = 512, 4096, 40_000
+LIST, MOST_LISTS, SAMPLE, SAMPLE_BYTES = 512, 4096, 40_000, 64 << 20
 REPLICAS, BOUNDARY = 3, 1.05
 CALIBRATION, COVER = 64, 0.98
 BLOCK, DEGREE, ROUNDS = 2048, 16, 8
@@ -219,11 +219,12 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, cover: float = COVER)
     n, top = vectors.agg(F.count("*"), F.max(F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + x * x))"))).first()
     if not n or queries.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    reps = scratch.save(queries.groupBy("v").agg(F.min("vec_id").alias("rep")), "reps")
+    reps = scratch.save(queries.groupBy("v").agg(F.min("vec_id").alias("first")).withColumn("rep", F.monotonically_increasing_id()), "reps")
 
     # centroids
-    limit = int(min(1.0, SAMPLE / n) * (1 << 30))
-    sample = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) <= limit).orderBy("vec_id").limit(2 * SAMPLE).select("v").toArrow()
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * vectors.select(F.size("v")).first()[0])))
+    limit = int(min(1.0, most / n) * (1 << 30))
+    sample = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) <= limit).orderBy("vec_id").limit(2 * most).select("v").toArrow()
     sample = augmented(matrix(sample.column("v").combine_chunks(), sample.num_rows), top) if sample.num_rows else np.zeros((1, 1))
     k_lists = max(1, min(MOST_LISTS, math.ceil(n / LIST)))
     graph = context.broadcast(Graph(balanced_centroids(sample, k_lists)))
@@ -238,12 +239,13 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, cover: float = COVER)
     lists = scratch.save(vectors.mapInArrow(placed, "list int, vec_id long, v array<double>"), "lists")
 
     # how far a query must look
-    tried = [(r["rep"], list(r["v"])) for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(CALIBRATION).collect()]
+    chosen = reps.orderBy(F.xxhash64("first"), "first", "rep").limit(CALIBRATION).collect()
+    tried, own = [(r["rep"], list(r["v"])) for r in chosen], {r["rep"]: r["first"] for r in chosen}
     true = brute_force(vectors, tried, k + 1).select("rep", "vec_id")
     true = true.join(lists.select("vec_id", "list"), "vec_id").groupBy("rep", "vec_id").agg(F.collect_set("list").alias("lists")).collect()
     far = dict(zip([i for i, _ in tried], _all_distances(graph.value, augmented(np.array([v for _, v in tried]), None)), strict=True))
     floor = float(np.median([x.min() for x in far.values()]))
-    needed = [far[r["rep"]][r["lists"]].min() / max(far[r["rep"]].min(), floor, 1e-12) for r in true if r["vec_id"] != r["rep"]]
+    needed = [far[r["rep"]][r["lists"]].min() / max(far[r["rep"]].min(), floor, 1e-12) for r in true if r["vec_id"] != own[r["rep"]]]
     ratio = float(np.quantile(needed, cover, method="higher")) * (1 + 1e-9) if needed else 1.0
 
     sizes = np.zeros(len(graph.value.c), np.int64)
@@ -294,7 +296,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, cover: float = COVER)
     scanned = both.repartition("list", "block").sortWithinPartitions("list", "block", "kind").select("list", "block", "kind", "id", "v").mapInArrow(scan, "rep long, vec_id long, score double")
     found = scratch.save(_merged(scanned, k + 1), "found")
     every = queries.join(reps, "v").select(F.col("vec_id").alias("query_id"), "rep").distinct()
-    out = every.join(found, "rep").where("vec_id <> query_id")
+    out = every.join(found, "rep").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
