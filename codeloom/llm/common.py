@@ -103,14 +103,16 @@ def table(**columns) -> pa.RecordBatch:
 
 
 class WordHashes(dict):
-    """Word to a stable 64-bit hash; forgets all at LIMIT words, so memory is bounded."""
+    """Word to a stable 64-bit hash; forgets all at LIMIT words and never holds one of over LONGEST bytes, so memory is bounded."""
 
-    LIMIT = 1 << 18
+    LIMIT, LONGEST = 1 << 18, 64
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

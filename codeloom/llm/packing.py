@@ -37,11 +37,11 @@ def _bytes_of() -> dict[str, int]:
 class Encoder:
     """Token ids, as little-endian unsigned 32-bit bytes, by a byte-level BPE file of ``tokenizers``.
 
-    Pretokens are cut by the file's own pattern and remembered, up to ``LIMIT`` of them; those not yet seen are merged by the
+    Pretokens are cut by the file's own pattern and remembered, up to ``LIMIT`` of at most ``LONGEST`` characters; those not yet seen are merged by the
     same vocabulary as ranks. A text that holds an added token's string is left to ``tokenizers`` itself.
     """
 
-    LIMIT = 1 << 19
+    LIMIT, LONGEST = 1 << 19, 64
 
     def __init__(self, path: str):
         import json
@@ -57,13 +57,15 @@ class Encoder:
         ranks = {bytes(stand[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in skip}
         self.merge = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
-        encode, limit = self.merge.encode_ordinary, self.LIMIT
+        encode, limit, longest = self.merge.encode_ordinary, self.LIMIT, self.LONGEST
 
         class Seen(dict):
             def __missing__(self, piece: str) -> bytes:
-                if len(self) >= limit:
-                    self.clear()
-                self[piece] = value = np.array(encode(piece), "<u4").tobytes()
+                value = np.array(encode(piece), "<u4").tobytes()
+                if len(piece) <= longest:
+                    if len(self) >= limit:
+                        self.clear()
+                    self[piece] = value
                 return value
 
         self.seen = Seen()
