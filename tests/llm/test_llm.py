@@ -304,7 +304,7 @@ def test_line_dedup_edges(spark, empty, twice):
 
 def test_bloom(spark):
     df = spark.range(0, 5000, numPartitions=7).select(F.xxhash64("id"))
-    held = bloom.build(df, 1 << 17, 3)
+    held = bloom.build(df, 1 << 17)
     hits = lambda lo, hi: bloom.has(held, bloom.probes(np.array([r[0] for r in spark.range(lo, hi).select(F.xxhash64("id")).collect()], np.int64).view(np.uint64), 1 << 17))
     assert hits(0, 5000).all() and hits(10_000, 15_000).mean() < 0.05
 
