@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import is_test_file
-from ..session import release, stable
+from ..session import placed, release, stable
 
 #: Levels of a closure that are read apart before they become one table.
 FOLD = 8
@@ -26,7 +26,7 @@ def transitive_dependents(edges: DataFrame, start: DataFrame, type_edges: DataFr
     back = edges.select("src", "dst")
     if type_edges is not None:
         back = back.union(type_edges.select("src", "dst"))
-    back = stable(back.where("src <> dst").distinct().repartition("dst"))
+    back = placed(back.where("src <> dst").distinct(), "dst")
     frontier = stable(start.select("path", F.lit(0).alias("hop")).distinct())
     levels, hop = [frontier], 0
     while max_hops is None or hop < max_hops:
@@ -97,7 +97,7 @@ def call_closure(calls: DataFrame, file: str, name: str, depth: int, ranks: Data
         rows = calls.select(F.col("caller_file").alias("to_file"), F.col("caller_name").alias("to_name"), F.col("callee_file").alias("file"), F.col("callee_name").alias("name"), F.col("callee_line").alias("line"), F.col("callee_line").alias("own_line"))
         site = ["file", "name", "line"]
     spark = calls.sparkSession
-    rows = stable(rows.distinct().repartition("to_file", "to_name"))
+    rows = placed(rows.distinct(), "to_file", "to_name")
     frontier = spark.createDataFrame([(file, name, None)], "to_file string, to_name string, via string")
     followed = spark.createDataFrame([(file, name)], "file string, name string")
     out, total, cut = None, 0, False
@@ -124,6 +124,7 @@ def call_closure(calls: DataFrame, file: str, name: str, depth: int, ranks: Data
             cut, step = True, step.orderBy(F.desc(F.coalesce("rank", F.lit(0.0))), "file", "name").limit(frontier_cap)
         followed = stable(followed.union(step.select("file", "name")))
         frontier = step.select(F.col("file").alias("to_file"), F.col("name").alias("to_name"), F.concat_ws(":", "file", "name", "own_line").alias("via"))
+    release(rows)
     if out is None:
         return spark.createDataFrame([], "file string, name string, line int, depth int, via string, truncated boolean")
     out = out.join(ranks, "file", "left") if ranks is not None else out.withColumn("rank", F.lit(0.0))

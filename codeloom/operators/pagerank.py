@@ -17,32 +17,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..session import prepared, release, stable
+from ..session import placed, release, stable
 
 KERNEL_EDGES = 1_000_000
 #: Ranks that differ by less than this many places are ties: sums in another order must not change an order of results.
 PLACES = 12
 
 
-def transitions(edges: DataFrame, nodes: DataFrame | None) -> DataFrame:
-    """src, dst and weight of the edges that count, duplicates added up; without ``nodes`` all ends are known."""
-    rows = edges.where(F.col("src") != F.col("dst")).select("src", "dst", F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1.0).alias("weight"))
-    rows = rows.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+def summed(edges: DataFrame) -> DataFrame:
+    """src, dst, weight: duplicates added up, a weight that isn't positive counting as 1. Self-loops stay, as they make nodes known."""
+    return edges.select("src", "dst", F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1.0).alias("weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
+def transitions(sums: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """The edges of ``summed`` that count: no self-loops, and both ends among ``nodes`` where these are given."""
+    rows = sums.where(F.col("src") != F.col("dst"))
     if nodes is None:
         return rows
-    known = nodes.select("node").distinct()
-    return rows.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "weight")
+    return rows.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "weight")
 
 
-def teleport(nodes: DataFrame, personalization: DataFrame | None) -> DataFrame:
-    """(node, p): the normalized personalization, or 1 / N each where it has no positive value on a known node."""
-    nodes = nodes.select("node").distinct()
+def teleport(nodes: DataFrame, n: int, personalization: DataFrame | None) -> DataFrame:
+    """(node, p): the normalized personalization, or 1 / n each where it has no positive value on a known node."""
     if personalization is None:
-        n = nodes.count()
-        return nodes.withColumn("p", F.lit(1.0 / n if n else 0.0))
+        return nodes.select("node", F.lit(1.0 / n if n else 0.0).alias("p"))
     given = personalization.where(F.col("value") > 0).groupBy("node").agg(F.sum("value").alias("value"))
-    rows = nodes.join(given, "node", "left")
-    total, n = rows.agg(F.coalesce(F.sum("value"), F.lit(0.0)), F.count("*")).first()
+    rows = stable(nodes.join(given, "node", "left"))
+    total = rows.agg(F.coalesce(F.sum("value"), F.lit(0.0))).first()[0]
     return rows.select("node", (F.coalesce("value", F.lit(0.0)) / total if total else F.lit(1.0 / n if n else 0.0)).alias("p"))
 
 
@@ -81,19 +82,22 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, personalization:
 
     ``personalization`` is (node, value).
     """
-    prepared(edges.sparkSession)
-    if nodes is None:
-        edges = stable(edges.select("src", "dst", "weight"))
-        nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        moves = stable(transitions(edges, None))
-    else:
-        moves = stable(transitions(edges, nodes))
-    base = stable(teleport(stable(nodes.select("node").distinct()), personalization))
-    if moves.count() <= kernel_edges and base.count() <= kernel_edges:
+    return _ranked(stable(summed(edges)), nodes, personalization, damping, tol, max_iter, kernel_edges)
+
+
+def _ranked(sums: DataFrame, nodes: DataFrame | None = None, personalization: DataFrame | None = None, damping: float = S.DAMPING, tol: float = S.TOLERANCE, max_iter: int = S.MAX_ITERATIONS, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+    """``pagerank`` of a written table of ``summed`` edges."""
+    given = nodes is not None
+    nodes = stable(nodes.select("node").distinct() if given else sums.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    moves = transitions(sums, nodes if given else None)
+    moves = stable(moves) if given else moves
+    n, n_moves = nodes.count(), moves.count()
+    base = teleport(nodes, n, personalization)
+    if max(n, n_moves) <= kernel_edges:
         rows = base.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("p").alias("w")).unionAll(moves.select("src", "dst", F.col("weight").alias("w")))
         return _kernel(rows, damping, tol, max_iter)
     out = moves.groupBy("src").agg(F.sum("weight").alias("total"))
-    moves = stable(moves.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")).repartition("src"))
+    moves = placed(moves.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "src")
     base = base.join(out.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left")
     base = stable(base.withColumn("dangling", F.coalesce("dangling", F.lit(True))))
     rank = base.select("node", "p", "dangling", F.col("p").alias("r"), F.lit(0.0).alias("before"))
@@ -114,10 +118,9 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, personalization:
 
 def hubs(edges: DataFrame, limit: int = S.HUBS, **options) -> DataFrame:
     """path, pagerank (6 places) and in_degree of the highest ranks."""
-    edges = stable(edges)
-    degree = in_degree(edges)
-    rank = pagerank(edges, **options).withColumnRenamed("node", "path")
-    top = rank.orderBy(F.desc(F.round("rank", PLACES)), "path").limit(limit)
+    sums = stable(summed(edges))
+    degree = sums.where("src <> dst").groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("in_degree"))
+    top = _ranked(sums, **options).withColumnRenamed("node", "path").orderBy(F.desc(F.round("rank", PLACES)), "path").limit(limit)
     return top.join(degree, "path", "left").select("path", F.round("rank", 6).alias("pagerank"), F.coalesce("in_degree", F.lit(0)).cast("long").alias("in_degree"))
 
 

@@ -45,6 +45,7 @@ def symbol_rank(exports: DataFrame, references: DataFrame, nodes: DataFrame | No
     ``exports``: (path, name, kind); ``references``: (path, name, n); ``nodes``: (node), by default all paths of both.
     Names that nobody refers to follow at a rank just below the lowest.
     """
+    exports, references = stable(exports.select("path", "name", "kind")), stable(references.select("path", "name", "n"))
     if nodes is None:
         nodes = exports.select(F.col("path").alias("node")).union(references.select(F.col("path").alias("node"))).distinct()
     mentioned = mentions(exports, list(focus)) if focus else None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,15 +27,27 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 def stable(df: DataFrame) -> DataFrame:
     """``df`` computed now and written to the shared checkpoint folder, so that loops neither grow plans nor lose work."""
-    prepared(df.sparkSession)
-    return df.checkpoint()
+    spark = prepared(df.sparkSession)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def placed(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` written, and held by the executors dealt by ``keys`` for a loop that joins by them; lost parts are read and dealt again."""
+    kept = stable(df)
+    out = kept.repartition(*keys).persist()
+    out.written = kept.written
+    return out
 
 
 def release(*tables: DataFrame) -> None:
-    """Deletes what ``stable`` wrote for ``tables``, which nothing may read any more."""
+    """Deletes what ``stable`` and ``placed`` wrote and hold for ``tables``, which nothing may read any more."""
     for df in tables:
-        context = df.sparkSession.sparkContext
-        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
-        if file.isDefined():
-            path = context._jvm.org.apache.hadoop.fs.Path(file.get())
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        if path := getattr(df, "written", None):
+            df.unpersist()
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

@@ -119,7 +119,7 @@ def test_closure_of_a_long_chain(spark):
 
 def test_released_checkpoints_are_gone(spark, tmp_path):
     df = stable(spark.range(5))
-    path = df._jdf.queryExecution().logical().rdd().getCheckpointFile().get().split(":", 1)[1]
+    path = df.written.split(":", 1)[1]
     assert os.path.isdir(path)
     release(df)
     assert not os.path.exists(path)
