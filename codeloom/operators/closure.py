@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import is_test_file
-from ..session import placed, release, stable
+from ..session import release, stepped
 
 #: Levels of a closure that are read apart before they become one table.
 FOLD = 8
@@ -26,20 +26,20 @@ def transitive_dependents(edges: DataFrame, start: DataFrame, type_edges: DataFr
     back = edges.select("src", "dst")
     if type_edges is not None:
         back = back.union(type_edges.select("src", "dst"))
-    back = placed(back.where("src <> dst").distinct(), "dst")
-    frontier = stable(start.select("path", F.lit(0).alias("hop")).distinct())
+    back = stepped(back.where("src <> dst").distinct(), "dst")
+    frontier = stepped(start.select("path", F.lit(0).alias("hop")).distinct())
     levels, hop = [frontier], 0
     while max_hops is None or hop < max_hops:
         hop += 1
         new = back.join(frontier.select(F.col("path").alias("dst")), "dst", "left_semi").select(F.col("src").alias("path")).distinct()
         for level in levels:
             new = new.join(level, "path", "left_anti")
-        frontier = stable(new.withColumn("hop", F.lit(hop)))
+        frontier = stepped(new.withColumn("hop", F.lit(hop)))
         if frontier.isEmpty():
             break
         levels.append(frontier)
         if len(levels) > FOLD:
-            whole = stable(reduce(DataFrame.unionAll, levels))
+            whole = stepped(reduce(DataFrame.unionAll, levels))
             release(*levels[:-1])
             levels = [whole]
     release(back)
@@ -97,21 +97,21 @@ def call_closure(calls: DataFrame, file: str, name: str, depth: int, ranks: Data
         rows = calls.select(F.col("caller_file").alias("to_file"), F.col("caller_name").alias("to_name"), F.col("callee_file").alias("file"), F.col("callee_name").alias("name"), F.col("callee_line").alias("line"), F.col("callee_line").alias("own_line"))
         site = ["file", "name", "line"]
     spark = calls.sparkSession
-    rows = placed(rows.distinct(), "to_file", "to_name")
+    rows = stepped(rows.distinct(), "to_file", "to_name")
     frontier = spark.createDataFrame([(file, name, None)], "to_file string, to_name string, via string")
     followed = spark.createDataFrame([(file, name)], "file string, name string")
     out, total, cut = None, 0, False
-    ranks = stable(ranks.select(F.col("path").alias("file"), "rank")) if ranks is not None else None
+    ranks = stepped(ranks.select(F.col("path").alias("file"), "rank")) if ranks is not None else None
     for hop in range(1, depth + 1):
         new = rows.join(frontier, ["to_file", "to_name"]).where(~((F.col("file") == file) & (F.col("name") == name))) if direction != "callers" else rows.join(frontier, ["to_file", "to_name"])
         new = new.groupBy(*site).agg(F.min(F.struct("name", "own_line", "via")).alias("m")).select(*site, *[F.col(f"m.{c}").alias(c) for c in ("name", "own_line", "via") if c not in site])
         if out is not None:
             new = new.join(out, site, "left_anti")
-        new = stable(new.select("file", "name", "line", "own_line", "via", F.lit(hop).alias("depth")))
+        new = stepped(new.select("file", "name", "line", "own_line", "via", F.lit(hop).alias("depth")))
         n = new.count()
         if not n:
             break
-        out, total = new if out is None else stable(out.unionByName(new)), total + n
+        out, total = new if out is None else stepped(out.unionByName(new)), total + n
         if total >= node_cap:
             cut = True
             break
@@ -119,10 +119,10 @@ def call_closure(calls: DataFrame, file: str, name: str, depth: int, ranks: Data
             break
         step = new.where("name <> '<module>'").groupBy("file", "name").agg(F.min("own_line").alias("own_line")).join(followed, ["file", "name"], "left_anti")
         step = step.join(ranks, "file", "left") if ranks is not None else step.withColumn("rank", F.lit(0.0))
-        step = stable(step.orderBy(F.desc(F.coalesce("rank", F.lit(0.0))), "file", "name").limit(frontier_cap + 1))
+        step = stepped(step.orderBy(F.desc(F.coalesce("rank", F.lit(0.0))), "file", "name").limit(frontier_cap + 1))
         if step.count() > frontier_cap:
             cut, step = True, step.orderBy(F.desc(F.coalesce("rank", F.lit(0.0))), "file", "name").limit(frontier_cap)
-        followed = stable(followed.union(step.select("file", "name")))
+        followed = stepped(followed.union(step.select("file", "name")))
         frontier = step.select(F.col("file").alias("to_file"), F.col("name").alias("to_name"), F.concat_ws(":", "file", "name", "own_line").alias("via"))
     release(rows)
     if out is None:

@@ -43,8 +43,15 @@ def placed(df: DataFrame, *keys: str) -> DataFrame:
     return out
 
 
+def stepped(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` checkpointed, which keeps how it is dealt (by ``keys``): for the small steps of a loop, and for what they all join by."""
+    out = prepared(df.sparkSession) and (df.repartition(*keys) if keys else df).checkpoint()
+    out.written = out._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+    return out
+
+
 def release(*tables: DataFrame) -> None:
-    """Deletes what ``stable`` and ``placed`` wrote and hold for ``tables``, which nothing may read any more."""
+    """Deletes what ``stable``, ``placed`` and ``stepped`` wrote and hold for ``tables``, which nothing may read any more."""
     for df in tables:
         if path := getattr(df, "written", None):
             df.unpersist()
