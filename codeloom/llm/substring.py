@@ -1,16 +1,18 @@
-"""Substring deduplication by minimizer partitioning and window hashes.
+"""Substring deduplication by de Bruijn compaction.
 
-No de Bruijn graph is built: there are no nodes or degrees, and paths are not joined where they don't branch. Windows have ``WIDTH`` words. A path is a run of consecutive windows of one document whose least
-``ANCHOR``-word hash (their anchor) is at the same place: all windows with the same words have the same anchor, so equal windows lie in paths of
-one anchor, at the same distance from it. Repeats are found in three steps:
+A window of ``WIDTH`` words is an edge from its first ``WIDTH - 1`` words to its last. A node where the graph branches, or where some
+document begins or ends, is a turn; between turns edges form a nonbranching path, and every document that holds one edge of a path holds it whole.
+So all edges of a path have their first occurrence in one place, side by side, and paths compact by joins:
 
-1. anchors are counted over all documents, added up before the shuffle; anchors found once can hold no repeat, and a filter of
-   bounded size spares most of their paths the next step (what it lets through is only looked at in vain);
-2. equal paths collapse to one, that keeps the coordinates (doc_id, start) of its first occurrence;
-3. the windows of different paths meet by hash; each takes the smallest coordinates, and where these aren't a path's own the window is a repeat.
+1. windows are cut into pieces of consecutive windows of one document whose least ``ANCHOR``-word hash (their anchor) is at the same place.
+   Equal windows have equal anchors, so anchors found once hold no repeat; a filter of bounded size drops most of their pieces, and
+   where a dropped piece follows or precedes, the document counts as ending or beginning;
+2. equal pieces collapse to one with their number and the coordinates (doc_id, start) of the first; their windows, added up, are the edges;
+3. nodes get their degrees from the edges; edges that leave a turn are heads of paths, those that enter one are tails, and coordinates of heads
+   and tails give each repeated path its first place and its length;
+4. pieces that hold a head give every occurrence of its path; those whose coordinates aren't the first place are removed, whole.
 
-Joined back to all occurrences of a path, coordinates tell which windows start earlier elsewhere; the words that
-these cover are removed. Windows are judged on the input.
+An edge is told by the hashes of both its nodes (128 bits); words are not compared again. Windows are judged on the input.
 
 Defined cases: null text has no words; a document of fewer than ``WIDTH`` words keeps all; rows that repeat a doc_id are one document, whose
 equal windows at the same start are not repeats of each other, whatever its texts; rows of null doc_id come last; an empty table gives an empty
@@ -20,28 +22,29 @@ result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import Scratch, WordHashes, flat, inside, map_arrow, texts, tuned, windows
+from .common import Scratch, WordHashes, flat, inside, map_arrow, table, texts, tuned, windows
 
 WIDTH, ANCHOR = 20, 10
 LAST = (1 << 63) - 1
 
 
-def paths_of(docs: list[str], hashes: WordHashes, width: int, anchor: int) -> dict[str, np.ndarray]:
-    """Of all documents' windows in order: the document, the window's start in it, its hash, its anchor's hash, and where paths begin."""
+def pieces_of(docs: list[str], hashes: WordHashes, width: int, anchor: int) -> dict[str, np.ndarray]:
+    """Word hashes of all documents, and of their windows in order: the document, the start in it and in the hashes, the anchor's hash, and where pieces begin."""
     words, bounds = flat([x.encode("utf-8", "surrogatepass").split() for x in docs])
     h = hashes.of(words)
     at = np.flatnonzero(inside(bounds, width))
     if not len(at):
         none = np.empty(0, np.int64)
-        return {"doc": none, "start": none, "hash": none.view(np.uint64), "anchor": none.view(np.uint64), "begin": none}
+        return {"words": h, "doc": none, "start": none, "at": none, "anchor": none.view(np.uint64), "begin": none}
     grams = windows(h, anchor)
     n = len(h) - width + 1
     least, place = grams[:n].copy(), np.zeros(n, np.int64)
@@ -53,15 +56,15 @@ def paths_of(docs: list[str], hashes: WordHashes, width: int, anchor: int) -> di
     where, least = at + place[at], least[at]
     new = np.ones(len(at), bool)
     new[1:] = (where[1:] != where[:-1]) | (doc[1:] != doc[:-1])
-    return {"doc": doc, "start": at - bounds[doc], "hash": windows(h, width)[at], "anchor": least, "begin": np.flatnonzero(new)}
+    return {"words": h, "doc": doc, "start": at - bounds[doc], "at": at, "anchor": least, "begin": np.flatnonzero(new)}
 
 
 def repeated_anchors(docs: DataFrame, scratch: Scratch, width: int, anchor: int) -> tuple[np.ndarray, int]:
-    """A filter of the anchors that begin more than one path."""
+    """A filter of the anchors that begin more than one piece."""
     hashes = WordHashes()
 
     def work(batch: pa.RecordBatch):
-        p = paths_of(texts(batch), hashes, width, anchor)
+        p = pieces_of(texts(batch), hashes, width, anchor)
         values, n = np.unique(p["anchor"][p["begin"]], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["anchor", "n"])
 
@@ -73,44 +76,73 @@ def repeated_anchors(docs: DataFrame, scratch: Scratch, width: int, anchor: int)
     return held, bits
 
 
-def _removed(docs: DataFrame, scratch: Scratch, width: int, anchor: int) -> DataFrame:
-    """doc_id, text_hash (which tells rows of one doc_id apart), and runs (start, n) of windows that start earlier elsewhere."""
-    spark = docs.sparkSession
+def _occurrences(docs: DataFrame, scratch: Scratch, width: int, anchor: int) -> DataFrame:
+    """Pieces that may repeat: doc_id, text_hash, start, key, the hashes of the nodes passed, and whether the document begins or ends with it."""
     held, bits = repeated_anchors(docs, scratch, width, anchor)
-    sent, hashes = spark.sparkContext.broadcast(held), WordHashes()
+    sent, hashes = docs.sparkSession.sparkContext.broadcast(held), WordHashes()
 
     def work(batch: pa.RecordBatch):
-        p = paths_of(texts(batch), hashes, width, anchor)
+        p = pieces_of(texts(batch), hashes, width, anchor)
         begin = p["begin"]
         if not len(begin):
             return
-        end = np.append(begin[1:], len(p["doc"]))
+        size = np.diff(np.append(begin, len(p["doc"])))
         hit = bloom.has(sent.value, bloom.probes(p["anchor"][begin], bits))
-        begin, end = begin[hit], end[hit]
-        h = p["hash"].view(np.int64)
-        runs = [h[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-        keys = [xxhash.xxh3_128_digest(r.tobytes()) for r in runs]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(p["doc"][begin])), batch.column("text_hash").take(pa.array(p["doc"][begin])), pa.array(p["start"][begin]), pa.array(keys, pa.binary()), pa.array(runs, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "start", "path", "hashes"])
+        same = np.diff(p["doc"][begin]) == 0
+        opens, closes = np.ones(len(begin), bool), np.ones(len(begin), bool)
+        opens[1:], closes[:-1] = ~(same & hit[:-1]), ~(same & hit[1:])
+        begin, size = begin[hit], size[hit] + 1
+        bounds = np.append(0, np.cumsum(size))
+        nodes = windows(p["words"], width - 1)[np.arange(bounds[-1]) + np.repeat(p["at"][begin] - bounds[:-1], size)]
+        raw = nodes.tobytes()
+        keys = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in itertools.pairwise(bounds.tolist())]
+        doc = pa.array(p["doc"][begin])
+        yield table(doc_id=batch.column("doc_id").take(doc), text_hash=batch.column("text_hash").take(doc), start=pa.array(p["start"][begin]), piece=pa.array(keys, pa.binary()), nodes=pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(nodes.view(np.int64))), opens=pa.array(opens[hit]), closes=pa.array(closes[hit]))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = scratch.save(map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), work, f"doc_id {kind}, text_hash long, start long, path binary, hashes array<long>"), "paths")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return scratch.save(map_arrow(rows, work, f"doc_id {kind}, text_hash long, start long, piece binary, nodes array<long>, opens boolean, closes boolean"), "occurrences")
+
+
+def _walked(pieces: DataFrame, *columns: str | Column) -> DataFrame:
+    """One row per window i of each piece, from node l to node r."""
+    steps = pieces.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("nodes") - 2)))
+    return steps.select(*columns, "i", F.col("nodes")[F.col("i")].alias("l"), F.col("nodes")[F.col("i") + 1].alias("r"))
+
+
+def compacted(pieces: DataFrame, scratch: Scratch) -> DataFrame:
+    """The nonbranching paths of windows found more than once: the first edge (l, r), the place (d, s) of the first occurrence, n windows."""
+    last = F.col("i") == F.size("nodes") - 2
+    steps = _walked(pieces, F.struct("at.d", (F.col("at.s") + F.col("i")).alias("s"), "at.x").alias("at"), "c", (F.col("opens") & (F.col("i") == 0)).alias("opens"), (F.col("closes") & last).alias("closes"))
+    summed = steps.groupBy("l", "r").agg(F.min("at").alias("at"), F.sum("c").alias("c"), F.max("opens").alias("opens"), F.max("closes").alias("closes"))
+    edges = scratch.save(summed.select("l", "r", F.when(F.col("c") > 1, F.col("at")).alias("at"), "opens", "closes"), "edges")
+    ends = F.array(F.struct(F.col("l").alias("v"), F.lit(0).alias("into"), F.lit(1).alias("out"), F.col("opens").alias("cut")), F.struct(F.col("r").alias("v"), F.lit(1).alias("into"), F.lit(0).alias("out"), F.col("closes").alias("cut")))
+    nodes = edges.select(F.inline(ends)).groupBy("v").agg(F.sum("into").alias("into"), F.sum("out").alias("out"), F.max("cut").alias("cut"))
+    turns = scratch.save(nodes.where("into <> 1 or out <> 1 or cut").select("v"), "turns")
+    again = edges.where("at is not null").select("l", "r", "at.*")
+    none = F.lit(None).cast("long")
+    heads = again.join(turns, F.col("l") == F.col("v"), "left_semi").select("d", "x", "s", "l", "r", none.alias("tail"))
+    tails = again.join(turns, F.col("r") == F.col("v"), "left_semi").select("d", "x", "s", none.alias("l"), none.alias("r"), F.col("s").alias("tail"))
+    # Both of one text in order, from its end: the least tail so far is the one that a head's path ends with.
+    until = F.min("tail").over(Window.partitionBy("d", "x").orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    paths = scratch.save(heads.unionAll(tails).withColumn("until", until).where("l is not null").select("l", "r", "d", "s", (F.col("until") - F.col("s") + 1).alias("n")), "paths")
+    scratch.drop("edges", "turns")
+    return paths
+
+
+def _removed(docs: DataFrame, scratch: Scratch, width: int, anchor: int) -> DataFrame:
+    """doc_id, text_hash (which tells rows of one doc_id apart), and runs (start, n) of windows that start earlier elsewhere."""
+    rows = _occurrences(docs, scratch, width, anchor)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    # The first occurrence of each different path; its windows' hashes are the same wherever it occurs.
-    first = scratch.save(rows.groupBy("path").agg(F.min(F.struct(order.alias("d"), "start")).alias("f")), "first")
-    apart = scratch.save(rows.withColumn("d", order).join(first.select("path", "f.d", "f.start"), ["path", "d", "start"]).select("path", "d", "start", "hashes").dropDuplicates(["path"]), "apart")
-    edges = apart.select("path", F.posexplode("hashes").alias("i", "h"), "d", "start").withColumn("s", F.col("start") + F.col("i"))
-    least = scratch.save(edges.groupBy("h").agg(F.min(F.struct("d", "s")).alias("m"), F.count("*").alias("c")).where("c > 1").select("h", "m.*"), "least")
-    # By path: the windows that begin earlier in another path. Of a path that occurs again, all do.
-    earlier = edges.join(least.select("h", F.col("d").alias("md"), F.col("s").alias("ms")), "h").where("md < d or md = d and ms < s")
-    earlier = scratch.save(earlier.groupBy("path").agg(F.sort_array(F.collect_list("i")).alias("again")), "earlier")
-    every = rows.select("doc_id", "text_hash", order.alias("d"), "start", "path", F.size("hashes").alias("n"))
-    known = first.join(earlier, "path", "left").select("path", "f", "again")
+    place = F.struct(order.alias("d"), F.col("start").alias("s"), F.col("text_hash").alias("x"))
+    pieces = scratch.save(rows.groupBy("piece").agg(F.min(place).alias("at"), F.count("*").alias("c"), F.max("opens").alias("opens"), F.max("closes").alias("closes"), F.first("nodes").alias("nodes")), "pieces")
+    paths = compacted(pieces, scratch)
+    known = _walked(pieces, "piece").join(paths, ["l", "r"]).groupBy("piece").agg(F.collect_list(F.struct("i", "n", "d", "s")).alias("heads"))
     known = scratch.save(known, "known")
-    scratch.drop("first", "apart", "least", "earlier")
-    at = every.join(known, "path")
-    own = (F.col("d") == F.col("f.d")) & (F.col("start") == F.col("f.start"))
-    spans = F.when(own, F.transform(F.col("again"), lambda i: F.struct((F.col("start") + i).alias("start"), F.lit(1).alias("n")))).otherwise(F.array(F.struct("start", "n")))
-    return at.select("doc_id", "text_hash", F.explode(spans).alias("span"))
+    scratch.drop("pieces", "paths")
+    found = rows.select("doc_id", "text_hash", order.alias("own"), "start", "piece").join(known, "piece").select("doc_id", "text_hash", "own", "start", F.inline("heads"))
+    begin = F.col("start") + F.col("i")
+    return found.where((F.col("d") != F.col("own")) | (F.col("s") != begin)).select("doc_id", "text_hash", F.struct(begin.alias("start"), "n").alias("span"))
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:

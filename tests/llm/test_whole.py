@@ -14,7 +14,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import ann, chat, line_dedup, lm, mixing, near_dedup, quality, secrets
+from codeloom.llm import ann, chat, line_dedup, lm, mixing, near_dedup, quality, secrets, substring
+from codeloom.llm.common import Scratch, tuned
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -298,3 +299,39 @@ def test_common_lines_beyond_the_broadcast(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     told = lambda **more: sorted(str(tuple(r["lines"])) for r in line_dedup.line_dedup(docs, 5, "none", **more)[0].select("lines").collect())
     assert told() == told(broadcast_keys=8) == told(broadcast_keys=0)
+
+
+# substrings
+
+
+def removed_by_hand(rows, width):
+    """Words kept by row; rows of one doc_id are one document whose equal windows at the same start are not repeats of each other."""
+    order = lambda i: (i is None, i or 0)
+    first, held = {}, [(i, (t or "").split()) for i, t in rows]
+    for i, w in held:
+        for s in range(len(w) - width + 1):
+            key = tuple(w[s : s + width])
+            first[key] = min(first.get(key, (order(i), s)), (order(i), s))
+    out = []
+    for i, w in held:
+        gone = {s + j for s in range(len(w) - width + 1) if first[tuple(w[s : s + width])] != (order(i), s) for j in range(width)}
+        out.append((str(i), len(w), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("letters, width, anchor", [("ab", 4, 2), ("abcd", 5, 3)])
+def test_substrings_of_branching_and_circular_texts(spark, letters, width, anchor):
+    rng = random.Random(letters)
+    texts = [" ".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(40)]
+    texts += ["a " * 30, "a b " * 20, "a b c " * 15, None, "", "a", "p q r s t u v w x y z", "q r s t u v w", "o p q r s t u v w x 1", "r s t u v w x y 2"]
+    ids = [rng.choice([None, *range(30)]) for _ in texts]
+    rows = list(zip(ids, texts, strict=True)) + [(i, t) for i, t in zip(ids[:5], texts, strict=False)]
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width, anchor).select("doc_id", "n_words", "kept").collect()
+    assert sorted((str(r[0]), r[1], r[2]) for r in got) == removed_by_hand(rows, width)
+
+
+def test_passages_compact_to_one_path(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{' '.join(f'{side}{i}_{j}' for j in range(30))} {passage} {' '.join(f'z{i}_{j}' for j in range(30))}") for i, side in enumerate("uvwxy")]
+    spans = substring._removed(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(tuned(spark)), 20, 10).collect()
+    assert sorted((r["doc_id"], r["span"]["start"], r["span"]["n"]) for r in spans) == [(i, 30, 41) for i in range(1, 5)]
