@@ -10,6 +10,8 @@ size is counted first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,11 +31,9 @@ def summed(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1.0).alias("weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def transitions(sums: DataFrame, nodes: DataFrame | None) -> DataFrame:
-    """The edges of ``summed`` that count: no self-loops, and both ends among ``nodes`` where these are given."""
+def transitions(sums: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges of ``summed`` that count: no self-loops, and both ends among ``nodes``."""
     rows = sums.where(F.col("src") != F.col("dst"))
-    if nodes is None:
-        return rows
     return rows.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "weight")
 
 
@@ -48,7 +48,7 @@ def teleport(nodes: DataFrame, n: int, personalization: DataFrame | None) -> Dat
 
 
 def _kernel(rows: DataFrame, damping: float, tol: float, max_iter: int) -> DataFrame:
-    """All rows in one task: (src, null, p) for nodes and (src, dst, weight) for edges."""
+    """All rows in one task: (src, null, p) for nodes and (src, dst, weight) for edges, of which those with an unknown end don't count."""
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
@@ -61,8 +61,9 @@ def _kernel(rows: DataFrame, damping: float, tol: float, max_iter: int) -> DataF
         node = src.filter(pc.invert(kept))
         order = pc.sort_indices(node)
         node, p = node.take(order), w[~edge][order.to_numpy()]
-        a, b = (pc.index_in(x.filter(kept), value_set=node).to_numpy() for x in (src, dst))
+        a, b = (pc.index_in(x.filter(kept), value_set=node).fill_null(-1).to_numpy() for x in (src, dst))
         order = np.lexsort((b, a))
+        order = order[(a[order] >= 0) & (b[order] >= 0)]
         a, b, w = a[order], b[order], w[edge][order]
         n = len(node)
         out = np.bincount(a, w, n)
@@ -89,30 +90,39 @@ def _ranked(sums: DataFrame, nodes: DataFrame | None = None, personalization: Da
     """``pagerank`` of a written table of ``summed`` edges."""
     given = nodes is not None
     nodes = stable(nodes.select("node").distinct() if given else sums.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-    moves = transitions(sums, nodes if given else None)
-    moves = stable(moves) if given else moves
+    moves = sums.where(F.col("src") != F.col("dst"))
     n, n_moves = nodes.count(), moves.count()
     base = teleport(nodes, n, personalization)
     if max(n, n_moves) <= kernel_edges:
         rows = base.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("p").alias("w")).unionAll(moves.select("src", "dst", F.col("weight").alias("w")))
         return _kernel(rows, damping, tol, max_iter)
+    moves = stable(transitions(sums, nodes)) if given else moves
     out = moves.groupBy("src").agg(F.sum("weight").alias("total"))
     moves = placed(moves.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "src")
-    base = base.join(out.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left")
+
+    def flow(rank: DataFrame) -> DataFrame:
+        return rank.select(F.col("node").alias("src"), "r").join(moves, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") * F.col("share")).alias("s"))
+
+    rank = iterated(base, out.select("src"), flow, damping, tol, max_iter)
+    release(moves)
+    return rank
+
+
+def iterated(base: DataFrame, sources: DataFrame, flow: Callable[[DataFrame], DataFrame], damping: float = S.DAMPING, tol: float = S.TOLERANCE, max_iter: int = S.MAX_ITERATIONS) -> DataFrame:
+    """(node, rank) from ``base`` (node, p); ``sources`` (src) are the nodes with out-edges, and ``flow`` gives (node, s) that ranks (node, r) pass on."""
+    base = base.join(sources.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left")
     base = stable(base.withColumn("dangling", F.coalesce("dangling", F.lit(True))))
     rank = base.select("node", "p", "dangling", F.col("p").alias("r"), F.lit(0.0).alias("before"))
     lost = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("r"))), F.lit(0.0))).first()[0]
     for step in range(max_iter):
         before = rank
-        flow = rank.select(F.col("node").alias("src"), "r").join(moves, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") * F.col("share")).alias("s"))
         new = (1 - damping) * F.col("p") + F.lit(damping * lost) * F.col("p") + damping * F.coalesce("s", F.lit(0.0))
-        rank = stable(rank.join(flow, "node", "left").select("node", "p", "dangling", new.alias("r"), F.col("r").alias("before")))
+        rank = stable(rank.join(flow(rank), "node", "left").select("node", "p", "dangling", new.alias("r"), F.col("r").alias("before")))
         change, lost = rank.agg(F.sum(F.abs(F.col("r") - F.col("before"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("r"))), F.lit(0.0))).first()
         if step:
             release(before)
         if change is None or change < tol:
             break
-    release(moves)
     return rank.select("node", F.col("r").alias("rank"))
 
 

@@ -1,4 +1,9 @@
-"""Ranking of symbols over the graph of who refers to whose names, and the digest within a token budget."""
+"""Ranking of symbols over the graph of who refers to whose names, and the digest within a token budget.
+
+The edges are the product of the files that refer to a name and of those that define it, so one common name makes a quadratic number of them.
+They are counted first; beyond ``KERNEL_EDGES`` none is made: ranks flow from files to names and from names to files, less what a file
+would pass to itself. Both forms give the same ranks.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import ident_multiplier, stem
-from ..session import stable
-from .pagerank import PLACES, pagerank
+from ..session import placed, release, stable
+from .pagerank import KERNEL_EDGES, PLACES, iterated, pagerank, teleport
 
 
 def multipliers(exports: DataFrame, mentioned: DataFrame | None = None) -> DataFrame:
@@ -21,15 +26,56 @@ def multipliers(exports: DataFrame, mentioned: DataFrame | None = None) -> DataF
     return rows.withColumn("multiplier", ident_multiplier(F.col("name"), F.col("definers"), F.coalesce("m", F.lit(False)))).drop("m")
 
 
-def reference_edges(exports: DataFrame, references: DataFrame, mentioned: DataFrame | None = None, focus: list[str] = ()) -> DataFrame:
-    """src, dst, name, weight: a file that refers to a name n times points to each other file that defines it."""
+def weighted_references(exports: DataFrame, references: DataFrame, mentioned: DataFrame | None = None, focus: list[str] = ()) -> DataFrame:
+    """src, name, weight of each edge that ``src`` has to another file that defines the name it refers to."""
     refs = references.where(~F.col("name").isin("*", "default")).groupBy("path", "name").agg(F.sum("n").alias("n"))
     rows = refs.withColumnRenamed("path", "src").join(multipliers(exports, mentioned), "name")
-    rows = rows.join(exports.select(F.col("path").alias("dst"), "name").distinct(), "name").where("src <> dst")
     weight = F.col("multiplier") * F.sqrt(F.col("n").cast("double"))
     if focus:
         weight = weight * F.when(F.col("src").isin(*focus), S.FOCUS_BOOST).otherwise(1.0)
-    return rows.select("src", "dst", "name", weight.alias("weight"))
+    return rows.select("src", "name", weight.alias("weight"))
+
+
+def definers(exports: DataFrame) -> DataFrame:
+    """dst, name: who defines what, each once."""
+    return exports.where("path is not null").select(F.col("path").alias("dst"), "name").distinct()
+
+
+def reference_edges(refs: DataFrame, defs: DataFrame) -> DataFrame:
+    """src, dst, name, weight: a file that refers to a name n times points to each other file that defines it."""
+    return refs.join(defs, "name").where("src <> dst").select("src", "dst", "name", "weight")
+
+
+def spread(refs: DataFrame, defs: DataFrame) -> DataFrame:
+    """``refs`` with own (1 if src defines the name itself, else 0) and fan (its edges by this name), where there are any."""
+    fan = defs.groupBy("name").agg(F.count("*").alias("fan"))
+    own = defs.select(F.col("dst").alias("src"), "name", F.lit(1).alias("own"))
+    rows = refs.join(fan, "name").join(own, ["src", "name"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    return rows.withColumn("fan", F.col("fan") - F.col("own")).where("fan > 0")
+
+
+def rank_through_names(refs: DataFrame, defs: DataFrame, nodes: DataFrame, personalization: DataFrame | None = None) -> DataFrame:
+    """What ``pagerank`` gives for ``reference_edges`` on ``nodes``, in a time of references and definitions instead of their product.
+
+    A step adds up what flows into each name, so a name that many files refer to is one row when it meets its definers.
+    """
+    nodes = stable(nodes.select("node").distinct())
+    known = nodes.withColumnRenamed("node", "src")
+    defs = stable(defs.join(known.withColumnRenamed("src", "dst"), "dst", "left_semi"))
+    weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0)
+    rows = stable(spread(refs.join(known, "src", "left_semi").select("src", "name", weight.alias("weight")), defs))
+    total = rows.groupBy("src").agg(F.sum(F.col("weight") * F.col("fan")).alias("total"))
+    moves = placed(rows.join(total, "src").select("src", "name", "own", (F.col("weight") / F.col("total")).alias("share")), "src")
+
+    def flow(rank: DataFrame) -> DataFrame:
+        sent = rank.select(F.col("node").alias("src"), "r").join(moves, "src").select("src", "name", "own", (F.col("r") * F.col("share")).alias("s"))
+        given = defs.join(sent.groupBy("name").agg(F.sum("s").alias("s")), "name").select(F.col("dst").alias("node"), "s")
+        back = sent.where("own = 1").select(F.col("src").alias("node"), (-F.col("s")).alias("s"))
+        return given.unionAll(back).groupBy("node").agg(F.sum("s").alias("s"))
+
+    rank = iterated(teleport(nodes, nodes.count(), personalization), total.select("src"), flow)
+    release(moves)
+    return rank
 
 
 def mentions(exports: DataFrame, focus: list[str]) -> DataFrame:
@@ -39,7 +85,7 @@ def mentions(exports: DataFrame, focus: list[str]) -> DataFrame:
     return own.union(stems).distinct()
 
 
-def symbol_rank(exports: DataFrame, references: DataFrame, nodes: DataFrame | None = None, focus: list[str] = (), limit: int = S.RANKED_SYMBOLS) -> DataFrame:
+def symbol_rank(exports: DataFrame, references: DataFrame, nodes: DataFrame | None = None, focus: list[str] = (), limit: int = S.RANKED_SYMBOLS, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """path, name, kind, rank, pos of the ``limit`` best exports.
 
     ``exports``: (path, name, kind); ``references``: (path, name, n); ``nodes``: (node), by default all paths of both.
@@ -49,17 +95,24 @@ def symbol_rank(exports: DataFrame, references: DataFrame, nodes: DataFrame | No
     if nodes is None:
         nodes = exports.select(F.col("path").alias("node")).union(references.select(F.col("path").alias("node"))).distinct()
     mentioned = mentions(exports, list(focus)) if focus else None
-    edges = stable(reference_edges(exports, references, mentioned, list(focus)))
+    defs = stable(definers(exports))
+    ways = stable(spread(weighted_references(exports, references, mentioned, list(focus)), defs))
+    n_edges = ways.agg(F.coalesce(F.sum("fan"), F.lit(0))).first()[0]
     seeds = None
     if focus:
         unit = 100.0 / nodes.count()
         parts = F.explode(F.array_union(F.split("node", "/"), F.array(stem(F.col("node")))))
         hit = nodes.select("node", parts.alias("name")).join(mentioned, "name", "left_semi").select("node").distinct().withColumn("value", F.lit(unit))
         seeds = hit.union(nodes.where(F.col("node").isin(*focus)).withColumn("value", F.lit(unit)))
-    rank = pagerank(edges, nodes, seeds)
-    total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    flow = edges.join(rank.withColumnRenamed("node", "src").withColumnRenamed("rank", "r"), "src").join(total, "src")
-    scored = flow.groupBy(F.col("dst").alias("path"), "name").agg(F.sum(F.col("r") * F.col("weight") / F.col("total")).alias("share"))
+    refs = ways.select("src", "name", "weight")
+    rank = pagerank(reference_edges(refs, defs), nodes, seeds) if n_edges <= kernel_edges else rank_through_names(refs, defs, nodes, seeds)
+    total = ways.groupBy("src").agg(F.sum(F.col("weight") * F.col("fan")).alias("total"))
+    sent = ways.join(rank.withColumnRenamed("node", "src").withColumnRenamed("rank", "r"), "src").join(total, "src")
+    sent = stable(sent.select("src", "name", "own", (F.col("r") * F.col("weight") / F.col("total")).alias("s")))
+    into = sent.groupBy("name").agg(F.sum("s").alias("s"), F.count("*").alias("n"))
+    back = sent.where("own = 1").select(F.col("src").alias("dst"), "name", F.col("s").alias("back"), F.lit(1).alias("own"))
+    scored = defs.join(into, "name").join(back, ["dst", "name"], "left").where(F.col("n") > F.coalesce("own", F.lit(0)))
+    scored = scored.select(F.col("dst").alias("path"), "name", (F.col("s") - F.coalesce("back", F.lit(0.0))).alias("share"))
     kinds = exports.groupBy("path", "name").agg(F.min("kind").alias("kind"))
     every = kinds.join(scored, ["path", "name"], "left")
     if focus:
@@ -74,7 +127,11 @@ def symbol_rank(exports: DataFrame, references: DataFrame, nodes: DataFrame | No
 
 def unreferenced(exports: DataFrame, references: DataFrame) -> DataFrame:
     """path, name, kind of exports that no other file refers to."""
-    used = reference_edges(exports, references).select(F.col("dst").alias("path"), "name").distinct()
+    defs = definers(exports)
+    refs = references.where(~F.col("name").isin("*", "default") & F.col("path").isNotNull()).select(F.col("path").alias("dst"), "name").distinct()
+    own = refs.join(defs, ["dst", "name"], "left_semi").withColumn("own", F.lit(1))
+    used = defs.join(refs.groupBy("name").agg(F.count("*").alias("n")), "name").join(own, ["dst", "name"], "left").where(F.col("n") > F.coalesce("own", F.lit(0)))
+    used = used.select(F.col("dst").alias("path"), "name")
     return exports.groupBy("path", "name").agg(F.min("kind").alias("kind")).join(used, ["path", "name"], "left_anti")
 
 

@@ -29,6 +29,13 @@ def test_both_physical_forms_agree(spark):
     assert a == pytest.approx(b, abs=1e-12)
 
 
+def test_edges_of_unknown_nodes_do_not_count(spark):
+    rows = edge_table(spark, [("a", "b", 1.0), ("b", "c", 2.0), ("c", "zz", 9.0), ("zz", "a", 4.0), ("c", "a", 1.0)])
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "node string")
+    small, large = (ranks(pagerank.pagerank(rows, nodes, kernel_edges=k)) for k in (1_000_000, 0))
+    assert set(small) == {"a", "b", "c", "d"} and small == pytest.approx(large, abs=1e-12) and sum(small.values()) == pytest.approx(1)
+
+
 def test_empty_graph(spark):
     assert pagerank.pagerank(edge_table(spark, [])).count() == 0
 
@@ -88,6 +95,29 @@ def test_declarations_come_before_barrels(spark):
     assert [r["path"] for r in lookup.owners(rows, "x").collect()] == ["real.ts"]
 
 
+def name_tables(spark):
+    """Files that define and refer to names: common ones, one's own, one that only its definer refers to, missing ones, a null path."""
+    defs = [(f"f{i}", f"name{i * j % 9}", "K") for i in range(14) for j in (1, 2, 5)] + [("f1", "mine", "K"), ("f2", "lone", "K"), (None, "name1", "K")]
+    refs = [(f"f{i * 3 % 17}", f"name{i % 11}", i % 4 + 1) for i in range(60)] + [("f1", "mine", 3), ("f3", "default", 2), (None, "name2", 1), (None, "lone", 1)]
+    return spark.createDataFrame(defs, "path string, name string, kind string"), spark.createDataFrame(refs, "path string, name string, n long")
+
+
+@pytest.mark.parametrize("focus", [[], ["f2", "f5"]])
+@pytest.mark.parametrize("nodes", [None, 12])
+def test_ranks_through_names_equal_ranks_over_edges(spark, focus, nodes):
+    exports, refs = name_tables(spark)
+    nodes = nodes and spark.range(nodes).select(F.concat(F.lit("f"), "id").alias("node"))
+    a, b = ([tuple(r) for r in symbols.symbol_rank(exports.where("path is not null"), refs.where("path is not null"), nodes, focus, kernel_edges=k).orderBy("pos").collect()] for k in (1_000_000, 0))
+    assert a == b and len(a) > 20
+
+
+def test_nobody_refers_to_these(spark):
+    exports, refs = name_tables(spark)
+    defs, used = [(r["path"], r["name"]) for r in exports.collect()], [(r["path"], r["name"]) for r in refs.collect()]
+    want = {(p, n) for p, n in defs if not any(n == m and p and q and p != q for q, m in used)}
+    assert {(r["path"], r["name"]) for r in symbols.unreferenced(exports, refs).collect()} == want and ("f1", "mine") in want
+
+
 def test_digest_cuts_the_first_block_and_skips_what_does_not_fit(spark):
     rows = [("a.ts", f"name{i}" + "x" * 15, "Kind", i + 1) for i in range(4)] + [("a-very-long-file-name-that-does-not-fit-at-all.ts", "other", "Kind", 5), ("b.ts", "z", "K", 6)]
     ranked = spark.createDataFrame(rows, "path string, name string, kind string, pos int")
