@@ -82,12 +82,12 @@ def ranked_sites(rows: DataFrame, ranks: DataFrame, file: str, order: list[str],
     return rows.drop("rank").withColumn("total", F.lit(total).cast("long"))
 
 
-def call_closure(calls: DataFrame, file: str, name: str, depth: int, ranks: DataFrame | None = None, direction: str = "callers", frontier_cap: int = S.FRONTIER, node_cap: int = S.MAX_NODES) -> DataFrame:
+def call_closure(calls: DataFrame, file: str, name: str, depth: int, ranks: DataFrame | None = None, direction: str = "callers", frontier_cap: int | None = S.FRONTIER, node_cap: int | None = S.MAX_NODES) -> DataFrame:
     """file, name, line, depth, via, truncated of the call sites (or called symbols) within ``depth`` hops.
 
     Sites count once, symbols are followed once, top-level code is not followed; ``via`` is the parent as file:name:line, null at the
     first hop. A level follows at most ``frontier_cap`` symbols, best files first, and no level begins once ``node_cap`` rows are found;
-    ``truncated`` tells that either may have left rows out.
+    ``truncated`` tells that either may have left rows out. A cap of None is none: every symbol is followed, every row returned.
     """
     depth = clamp_depth(depth)
     if direction == "callers":
@@ -112,21 +112,25 @@ def call_closure(calls: DataFrame, file: str, name: str, depth: int, ranks: Data
         if not n:
             break
         out, total = new if out is None else stepped(out.unionByName(new)), total + n
-        if total >= node_cap:
+        if node_cap is not None and total >= node_cap:
             cut = True
             break
         if hop == depth:
             break
         step = new.where("name <> '<module>'").groupBy("file", "name").agg(F.min("own_line").alias("own_line")).join(followed, ["file", "name"], "left_anti")
-        step = step.join(ranks, "file", "left") if ranks is not None else step.withColumn("rank", F.lit(0.0))
-        step = stepped(step.orderBy(F.desc(F.coalesce("rank", F.lit(0.0))), "file", "name").limit(frontier_cap + 1))
-        if step.count() > frontier_cap:
-            cut, step = True, step.orderBy(F.desc(F.coalesce("rank", F.lit(0.0))), "file", "name").limit(frontier_cap)
+        if frontier_cap is None:
+            step = stepped(step)
+        else:
+            step = step.join(ranks, "file", "left") if ranks is not None else step.withColumn("rank", F.lit(0.0))
+            step = stepped(step.orderBy(F.desc(F.coalesce("rank", F.lit(0.0))), "file", "name").limit(frontier_cap + 1))
+            if step.count() > frontier_cap:
+                cut, step = True, step.orderBy(F.desc(F.coalesce("rank", F.lit(0.0))), "file", "name").limit(frontier_cap)
         followed = stepped(followed.union(step.select("file", "name")))
         frontier = step.select(F.col("file").alias("to_file"), F.col("name").alias("to_name"), F.concat_ws(":", "file", "name", "own_line").alias("via"))
     release(rows)
     if out is None:
         return spark.createDataFrame([], "file string, name string, line int, depth int, via string, truncated boolean")
     out = out.join(ranks, "file", "left") if ranks is not None else out.withColumn("rank", F.lit(0.0))
-    top = out.orderBy("depth", F.desc(F.coalesce("rank", F.lit(0.0))), "file", "line", "name").limit(node_cap)
+    top = out.orderBy("depth", F.desc(F.coalesce("rank", F.lit(0.0))), "file", "line", "name")
+    top = top if node_cap is None else top.limit(node_cap)
     return top.select("file", "name", F.col("line").cast("int").alias("line"), "depth", "via", F.lit(cut).alias("truncated"))
